@@ -15,8 +15,9 @@ when 100 * |A & B| >= 100t * |A | B|. The join is exact:
 4. Answer level: overlaps with a leader are computed once. For two members B
    and C of one list that are in different components so far, those overlaps
    bound |B & C| from both sides: |A & C| + |B - A| above and
-   |A & B| + |A & C| - |A| below. Most pairs are settled by these; only what
-   remains is compared, again in groups around one set.
+   |A & B| + |A & C| - |A| below. Most pairs are settled by these; what remains
+   is compared in steps, a few partners of each member at first, as one link
+   joins it to a whole component. The last step leaves nothing out.
 5. Components of all links by large-star/small-star.
 
 Very common tokens are salted; a portion of a list has a leader of its own, and
@@ -41,7 +42,9 @@ COMMON_TOKENS = 131_072
 #: Tokens of sets read between two looks at which of them are common.
 WINDOW_TOKENS = 4_000_000
 #: Documents of a window that make a token common.
-COMMON_IN_WINDOW = 8
+COMMON_IN_WINDOW = 2
+#: Partners that a member is compared with in each further step, before its component is looked at again; None: all that remain.
+STEPS = (1, 8, None)
 #: Members of a list's portion, and of a tile of the second step.
 PORTION = 1024
 #: Members of one list held in memory at once.
@@ -266,8 +269,11 @@ def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, scr
     )
 
 
-def _tiles(percent: int):
-    """Pairs of a tile in different components that the leader's overlaps leave open (link null) or settle (link true)."""
+def _tiles(percent: int, most: int | None):
+    """Pairs of a tile in different components that the leader's overlaps leave open (sure false) or settle (sure true).
+
+    most: open pairs of a member at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -278,6 +284,7 @@ def _tiles(percent: int):
             rows, cols = (np.flatnonzero(left == 0), np.flatnonzero(left == 1)) if (left == 1).any() else (np.arange(len(cls)),) * 2
             same = not (left == 1).any()
             made = []
+            had = np.zeros(len(cols), np.int64)
             for at in range(0, len(rows), 256):
                 r = rows[at : at + 256][:, None]
                 s = cols[None, :]
@@ -288,10 +295,15 @@ def _tiles(percent: int):
                 open_ &= ~(known & (upper < need))
                 if same:
                     open_ &= r < s
+                settled = open_ & known & (both[r] + both[s] - lead_n[r] >= need)
+                if most:
+                    open_ &= np.cumsum(open_, axis=1) <= most
+                    open_ &= np.cumsum(open_, axis=0) + had <= most
+                    had = had + open_.sum(0)
+                    open_ |= settled
                 i, j = np.nonzero(open_)
                 a, b = r[i, 0], s[0, j]
-                low = both[a] + both[b] - lead_n[a]
-                sure = known[i, j] & (low >= need[i, j])
+                sure = settled[i, j]
                 x, y = np.minimum(cls[a], cls[b]), np.maximum(cls[a], cls[b])
                 made.append([x, y, sure])
             return [np.concatenate(z) for z in zip(*made, strict=True)] if made else []
@@ -368,43 +380,40 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     named = lambda df: (
         df.join(ids.withColumnsRenamed({"cls": "leader", "rep": "u"}), "leader").join(ids.withColumnsRenamed({"rep": "v"}), "cls").select("u", "v")
     )
-    first = scratch.write(named(over.where(linked).select("leader", "cls")), "links")
-    comps = scratch.write(connected_components(first, scratch).join(ids.withColumnRenamed("rep", "node"), "node").select("cls", "component"), "components")
-
-    members = (
-        lists.where("kind = 1").select("token", "salt", "cls", "n", "pos", "leader", "leader_n")
-        .join(comps, "cls", "left")
-        .withColumn("comp", F.coalesce("component", F.col("cls"))).withColumn("alone", F.col("component").isNull().cast("int"))
-        .drop("component")
-    )
-    members = scratch.write(members, "members")
-    mixed = (
-        members.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("alone", "comp")).alias("lo"), F.max(F.struct("alone", "comp")).alias("hi"))
-        .where("m >= 3 and lo <> hi").select("token", F.ceil(F.col("m") / PORTION).cast("int").alias("tiles"))
-    )
-    mixed = scratch.write(mixed, "mixed")
-    rest = (
-        members.join(mixed, "token")
-        .join(over.select("leader", "cls", "both"), ["leader", "cls"], "left")
-        .withColumn("both", F.when(F.col("leader") == F.col("cls"), F.col("n")).otherwise(F.coalesce("both", F.lit(-1))))
-        .withColumn("comp", F.when(F.col("alone") == 1, F.xxhash64("comp")).otherwise(F.col("comp")))
-        .withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select(
-            "token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"),
-            (F.col("tile") > F.col("other")).cast("int").alias("right"), "comp", "cls", "n", "pos", "leader", "leader_n", "both",
-        )
-    )
-    found = (
-        rest.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "right", "cls")
-        .mapInArrow(_tiles(percent), "leader long, cls long, sure boolean")
-        .groupBy("leader", "cls").agg(F.max("sure").alias("sure"))
-    )
-    found = scratch.write(found, "found")
+    links = scratch.write(named(over.where(linked).select("leader", "cls")), "links")
     tried = pairs.select(F.least("leader", "cls").alias("leader"), F.greatest("leader", "cls").alias("cls"))
-    opened = scratch.write(found.where("not sure").join(tried, ["leader", "cls"], "left_anti").select("leader", "cls"), "opened")
-    more = _compare(docs, reps, opened, width, scratch).where(linked).select("leader", "cls").unionByName(found.where("sure").select("leader", "cls"))
-    links = scratch.write(first.unionByName(named(more)), "links")
+    listed = lists.where("kind = 1").select("token", "cls", "n", "pos", "leader", "leader_n").join(over.select("leader", "cls", "both"), ["leader", "cls"], "left")
+    listed = scratch.write(listed.withColumn("both", F.when(F.col("leader") == F.col("cls"), F.col("n")).otherwise(F.coalesce("both", F.lit(-1)))), "listed")
+    scratch.drop(lists)
+    for most in STEPS:
+        comps = scratch.write(connected_components(links, scratch).join(ids.withColumnRenamed("rep", "node"), "node").select("cls", "component"), "components")
+        members = listed.join(comps, "cls", "left").withColumn("alone", F.col("component").isNull().cast("int")).withColumn("comp", F.coalesce("component", F.xxhash64("cls"))).drop("component")
+        members = scratch.write(members, "members")
+        mixed = (
+            members.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("alone", "comp")).alias("lo"), F.max(F.struct("alone", "comp")).alias("hi"))
+            .where("m >= 3 and lo <> hi").select("token", F.ceil(F.col("m") / PORTION).cast("int").alias("tiles"))
+        )
+        mixed = scratch.write(mixed, "mixed")
+        rest = (
+            members.join(mixed, "token")
+            .withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+            .select(
+                "token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"),
+                (F.col("tile") > F.col("other")).cast("int").alias("right"), "comp", "cls", "n", "pos", "leader", "leader_n", "both",
+            )
+        )
+        found = scratch.write(
+            rest.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "right", "cls")
+            .mapInArrow(_tiles(percent, most), "leader long, cls long, sure boolean")
+            .groupBy("leader", "cls").agg(F.max("sure").alias("sure")),
+            "found",
+        )
+        opened = scratch.write(found.where("not sure").join(tried, ["leader", "cls"], "left_anti").select("leader", "cls"), "opened")
+        more = _compare(docs, reps, opened, width, scratch).where(linked).select("leader", "cls").unionByName(found.where("sure").select("leader", "cls"))
+        links = scratch.write(links.unionByName(named(more)), "links")
+        tried = tried.unionByName(opened)
+        scratch.drop(members, mixed, comps)
     nodes = scratch.write(connected_components(links, scratch).withColumnRenamed("node", "rep"), "nodes")
     classes = scratch.write(reps.join(nodes, "rep", "left").select("cls", F.coalesce("component", "rep").alias("component")), "classes")
     return meta.join(classes, "cls", "left").select(
