@@ -115,19 +115,21 @@ def label_model(votes: np.ndarray, gold: np.ndarray, weight: np.ndarray, share:
     """
     all_votes = np.hstack([votes, gold[:, None]]).astype(float)
     post = np.where(gold == 1, 0.9, share * 0.1)
+    tied = np.zeros((all_votes.shape[1],) * 2)
+    for y in (0, 1):
+        # given the annotators' label; a blurred posterior would leave the label itself in these
+        w = np.where(gold == y, weight, 0)
+        spread = (all_votes - w @ all_votes / max(w.sum(), 1e-9)) * np.sqrt(w)[:, None]
+        cov = spread.T @ spread / max(w.sum(), 1e-9)
+        sd = np.sqrt(np.diag(cov)) + 1e-6
+        tied = np.maximum(tied, cov / sd[:, None] / sd[None, :])
+    np.fill_diagonal(tied, 1.0)
+    alone = 1 / np.where(tied > 0.3, np.minimum(tied, 1.0), 0).sum(1)  # voters that always fire together count as one
     rates = np.zeros((2, all_votes.shape[1]))
     for _ in range(rounds):
-        voice = []
         for y in (0, 1):
             w = weight * (post if y else 1 - post)
-            rates[y] = (w @ all_votes + (0.5 if y else 0.05)) / (w.sum() + 1)
-            spread = (all_votes - rates[y]) * np.sqrt(w)[:, None]
-            cov = spread.T @ spread / max(w.sum(), 1e-9)
-            sd = np.sqrt(np.diag(cov)) + 1e-6
-            voice.append(np.clip(cov / sd[:, None] / sd[None, :], 0, 1))
-        tied = np.maximum(*voice)
-        np.fill_diagonal(tied, 1.0)
-        alone = 1 / np.where(tied > 0.2, tied, 0).sum(1)  # voters that always fire together count as one
+            rates[y] = (w @ all_votes + (0.2 if y else 0.02)) / (w.sum() + 0.5)
         fire = np.log(rates[1]) - np.log(rates[0])
         still = np.log1p(-np.clip(rates[1], 0, 0.999)) - np.log1p(-np.clip(rates[0], 0, 0.999))
         z = math.log(share / (1 - share)) + all_votes @ (alone * fire) + (1 - all_votes) @ (alone * still)
