@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reflume.llm import embedding_dedup, mixing, ngram_join, quality, secrets, toxicity
+from reflume.llm import embedding_dedup, mixing, ngram_join, quality, secrets, sentencepiece_codec, toxicity
+
+
+#: Where the vocabulary files of public tokenizers lie.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +30,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
+    return sentencepiece_codec.digests(_table(spark, sf_dir, "documents"), sentencepiece_codec.read_model(model))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": op2_secret_scan,
         "op3_embedding_near_dedup": op3_embedding_near_dedup,
         "op4_quality_classifier": op4_quality_classifier,
+        "op5_sentencepiece": op5_sentencepiece,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_source_mixing": op7_source_mixing,
         "op8_toxicity": op8_toxicity,

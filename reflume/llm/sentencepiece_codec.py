@@ -18,12 +18,14 @@ the edge that would have come earlier. Ids equal the library's.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from reflume.llm.common import bound_batches
@@ -34,6 +36,8 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 _NEVER = np.int64(2**62)
 #: Characters of words that advance together.
 CELLS = 400_000
+#: Words whose pieces a worker remembers.
+KNOWN_WORDS = 300_000
 
 
 def _code_hash(codes: np.ndarray) -> np.ndarray:
@@ -96,6 +100,8 @@ class Pieces:
         self.keys, self.ids = keys[order], np.array(usable, np.int64)[order]
         if len(np.unique(self.keys)) < len(self.keys):
             raise ValueError("two pieces share a key")
+        self.maybe = np.zeros(1 << 20, bool)  # which low ends of keys occur at all
+        self.maybe[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.longest = max(len(self.texts[k]) for k in usable)
         self.unknown = int(np.flatnonzero(self.kinds == 2)[0])
         self.byte = np.full(256, -1, np.int64)
@@ -111,6 +117,9 @@ class Pieces:
         if self.bpe:
             self._derive()
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("_known", "_pool", "_begin", "_count")}
+
     def _derive(self) -> None:
         """How each piece comes about by merging: rank, left and right part; alone: merging its text gives the piece."""
         n = len(self.texts)
@@ -139,8 +148,13 @@ class Pieces:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these keys, -1 for none."""
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.ids[at], -1)
+        out = np.full(len(keys), -1, np.int64)
+        rows = np.flatnonzero(self.maybe[(keys & np.uint64((1 << 20) - 1)).view(np.int64)])
+        some = keys[rows]
+        at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+        hit = self.keys[at] == some
+        out[rows[hit]] = self.ids[at[hit]]
+        return out
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging leaves an edge between the pieces a and b."""
@@ -182,14 +196,14 @@ class Pieces:
         lost = float(self.scores[self.ids].min()) - 10.0
         for end in range(1, length + 1):
             for start in range(max(0, end - self.longest), end):
+                rows = np.flatnonzero(best[:, start] > -np.inf)
                 with np.errstate(over="ignore"):
-                    piece = self.find(h[:, end] - h[:, start] * self.powers[end - start])
+                    p = self.find(h[rows, end] - h[rows, start] * self.powers[end - start])
                 if end - start == 1:
-                    piece = np.where(piece < 0, size, piece)
-                rows = np.flatnonzero((piece >= 0) & np.isfinite(best[:, start]))
+                    p = np.where(p < 0, size, p)
+                rows, p = rows[p >= 0], p[p >= 0]
                 if not len(rows):
                     continue
-                p = piece[rows]
                 if self.bpe:
                     ok = self.alone[p]
                     if start:
@@ -221,32 +235,45 @@ class Pieces:
         flat = [w for words in found for w in words]
         if not flat:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        number: dict[str, int] = {}
-        which = np.fromiter((number.setdefault(w, len(number)) for w in flat), np.int64, len(flat))
-        words = list(number)
+        if not hasattr(self, "_known") or len(self._known) > KNOWN_WORDS:
+            self._known: dict[str, int] = {}
+            self._pool, self._begin, self._count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        known = self._known
+        before = len(known)
+        which = np.array([known.setdefault(w, len(known)) for w in flat], np.int64)
+        if len(known) > before:
+            words = list(itertools.islice(known, before, None))
+            ids, counts = self._new_words(words)
+            self._begin = np.concatenate([self._begin, len(self._pool) + np.cumsum(counts) - counts])
+            self._count = np.concatenate([self._count, counts])
+            self._pool = np.concatenate([self._pool, ids])
+        n = self._count[which]
+        total = np.cumsum(n)
+        out = self._pool[np.repeat(self._begin[which] - (total - n), n) + np.arange(total[-1])]
+        ends = np.concatenate([[0], total])[np.cumsum([len(w) for w in found])]
+        return out, np.diff(ends, prepend=0)
+
+    def _new_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words in their order, and how many each has."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(sizes, kind="stable")
+        sorted_sizes = sizes[order]
         pieces: list[np.ndarray] = []
         counts = np.zeros(len(words), np.int64)
         at = 0
         while at < len(order):
-            size = int(sizes[order[at]])
-            end = min(int(np.searchsorted(sizes[order], size, "right")), at + max(1, CELLS // size))
+            size = int(sorted_sizes[at])
+            end = min(int(np.searchsorted(sorted_sizes, size, "right")), at + max(1, CELLS // size))
             group = order[at:end]
-            codes = np.frombuffer("".join(words[k] for k in group).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, size)
-            ids, n = self.words(codes.astype(np.int64))
-            ids, n = self._bytes(ids, n)
+            codes = np.frombuffer("".join([words[k] for k in group]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, size)
+            ids, n = self._bytes(*self.words(codes.astype(np.int64)))
             pieces.append(ids)
             counts[group] = n
             at = end
-        whole = np.concatenate(pieces)
         begin = np.zeros(len(words), np.int64)
         begin[order] = np.cumsum(counts[order]) - counts[order]
-        n = counts[which]
-        total = np.cumsum(n)
-        out = whole[np.repeat(begin[which] - (total - n), n) + np.arange(total[-1])]
-        ends = np.concatenate([[0], total])[np.cumsum([len(w) for w in found])]
-        return out.astype(np.int32), np.diff(ends, prepend=0)
+        total = np.cumsum(counts)
+        return np.concatenate(pieces)[np.repeat(begin - (total - counts), counts) + np.arange(total[-1])].astype(np.int32), counts
 
     def _bytes(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unknown characters as the pieces of their bytes, or as the unknown piece where the model has none."""
@@ -325,7 +352,7 @@ def decode(coded: DataFrame, pieces: Pieces, ids: str = "piece_ids", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
-            counts = np.array([0 if v is None else v for v in pa.compute.list_value_length(column).to_pylist()], np.int64)
+            counts = np.array([0 if v is None else v for v in pc.list_value_length(column).to_pylist()], np.int64)
             texts = pieces.decode(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t if ok else None for t, ok in zip(texts, column.is_valid().to_pylist(), strict=True)], pa.string())], [*batch.schema.names, text])
 
@@ -336,7 +363,7 @@ def decode(coded: DataFrame, pieces: Pieces, ids: str = "piece_ids", text: str =
 
 def parts(batch: pa.RecordBatch, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about `most` bytes."""
-    sizes = np.cumsum(np.array([v or 0 for v in pa.compute.binary_length(batch.column(batch.schema.get_field_index("text"))).to_pylist()], np.int64))
+    sizes = np.cumsum(np.array([v or 0 for v in pc.binary_length(batch.column(batch.schema.get_field_index("text"))).to_pylist()], np.int64))
     at = 0
     while at < batch.num_rows:
         end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
