@@ -38,10 +38,10 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/reflume/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def write(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def write(self, df: DataFrame, name: str = "t", compression: str = "snappy") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._reflume_path = path
         return out

@@ -6,17 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reflume.llm import embedding_dedup, mixing, ngram_join, quality, secrets, sentencepiece_codec, toxicity
+from reflume.llm import chat_format, chroma, embedding_dedup, mixing, ngram_join, quality, secrets, sentencepiece_codec, token_scan, toxicity
 
 
 #: Where the vocabulary files of public tokenizers lie.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_RANKS, BYTE_EOD = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256
+#: Fixed value: how that vocabulary splits texts.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chroma.align(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
@@ -47,8 +54,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str, ranks: str = BYTE_RANKS) -> DataFrame:
+    return token_scan.document_tokens(_table(spark, sf_dir, "documents"), ranks, BYTE_PATTERN, BYTE_EOD)
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chroma_fingerprints": op1_chroma_fingerprints,
         "op2_secret_scan": op2_secret_scan,
         "op3_embedding_near_dedup": op3_embedding_near_dedup,
         "op4_quality_classifier": op4_quality_classifier,
@@ -56,6 +72,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_source_mixing": op7_source_mixing,
         "op8_toxicity": op8_toxicity,
+        "op9_token_counts": op9_token_counts,
+        "op10_chat_format": op10_chat_format,
     }
 
 
