@@ -44,7 +44,7 @@ WINDOW_TOKENS = 4_000_000
 #: Documents of a window that make a token common.
 COMMON_IN_WINDOW = 2
 #: Partners that a member is compared with in each further step, before its component is looked at again; None: all that remain.
-STEPS = (1, 8, None)
+STEPS = (1, 8, 64, None)
 #: Members of a list's portion, and of a tile of the second step.
 PORTION = 1024
 #: Members of one list held in memory at once.
@@ -96,6 +96,8 @@ def _prefixes(width: int, percent: int, common: np.ndarray, counts: np.ndarray):
     """(token, salt, class, n, position) for the prefix of each class that the partition holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(1 << 20, bool)  # by the tokens' high bits; most tokens are told from common ones by this alone
+        known[(common >> np.uint64(44)).view(np.int64)] = True
         seen: set[int] = set()
         for batch in batches:
             out: list[tuple[np.ndarray, ...]] = []
@@ -109,12 +111,14 @@ def _prefixes(width: int, percent: int, common: np.ndarray, counts: np.ndarray):
                 seen.add(name)
                 if len(seen) > 4_000_000:
                     seen.clear()
-                many = np.zeros(n, np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-                    many = np.where(common[at] == tokens, counts[at], 0)
                 most = n - (percent * n + 99) // 100 + 1
-                order = np.lexsort((tokens, many))[:most]
+                many = np.zeros(n, np.int64)
+                maybe = np.flatnonzero(known[(tokens >> np.uint64(44)).view(np.int64)])
+                if len(maybe):
+                    at = np.minimum(np.searchsorted(common, tokens[maybe]), len(common) - 1)
+                    hit = common[at] == tokens[maybe]
+                    many[maybe[hit]] = counts[at[hit]]
+                order = np.argsort(many, kind="stable")[:most]  # tokens ascend already
                 token = tokens[order].view(np.int64)
                 salts = (np.uint64(name & (2**64 - 1)) >> np.uint64(8)) % np.maximum(many[order] // PORTION, 1).astype(np.uint64)
                 salt = np.where(many[order] >= 2 * PORTION, salts.astype(np.int64) + 1, 0)
@@ -248,7 +252,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n_a, pa.int32()), pa.array(n_b, pa.int32()), pa.array(both, pa.int32())], ["leader", "cls", "leader_n", "n", "both"])
 
 
-def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, scratch: Scratch, every: bool = False) -> DataFrame:
     """Exact overlaps of the pairs (leader, cls). A class's text is read once; its set goes where it is needed."""
     salts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / 256).cast("int").alias("salts"))
     salts = scratch.write(salts, "salts")
@@ -260,7 +264,9 @@ def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, scr
     goes = sent.groupBy("cls", F.floor(F.col("to.salt") / 64).alias("part")).agg(F.collect_list("to").alias("goes"))
     goes = goes.join(reps, "cls").select("cls", "goes", F.col("rep").alias("doc_id"))
     goes = scratch.write(goes, "goes")
-    texts = docs.select("doc_id", "text").join(goes, "doc_id").select("cls", "text", "goes")
+    # only ids decide which texts move; the join is by sorting at every size, so that the cost stays in proportion
+    wanted = docs.select("doc_id", "text").join(goes.select("doc_id").hint("merge") if every else goes.select("doc_id"), "doc_id", "left_semi")
+    texts = wanted.join(goes.hint("merge"), "doc_id").select("cls", "text", "goes")
     kind = "cls long, goes array<struct<leader:long,salt:int,member:int>>, tokens array<long>"
     delivered = texts.mapInArrow(_sets(width), kind).select("cls", F.explode("goes").alias("to"), "tokens").select("to.leader", "to.salt", "cls", "to.member", "tokens")
     return (
@@ -373,7 +379,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         .groupBy("leader", "cls").agg(F.lit(1).alias("one")).select("leader", "cls")
     )
     pairs = scratch.write(pairs, "pairs")
-    over = scratch.write(_compare(docs, reps, pairs, width, scratch), "overlaps")
+    over = scratch.write(_compare(docs, reps, pairs, width, scratch, every=True), "overlaps")
     linked = f"100L * both >= {percent}L * (leader_n + n - both)"
 
     ids = reps.select("cls", "rep")

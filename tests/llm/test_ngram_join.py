@@ -30,7 +30,7 @@ def brute(rows, width=5, percent=80):
     return sorted((k, len(sets[i]), low[root(i)]) for i, (k, _) in enumerate(rows))
 
 
-def made(seed, n=60):
+def made(seed, n=90):
     rng = random.Random(seed)
     word = lambda: rng.choice("ab cd ef gh ij kl mn op qr st".split()) + rng.choice("uvwxyz")
     rows = []
@@ -49,7 +49,7 @@ def made(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_equals_brute_force(spark, seed, monkeypatch):
     import reflume.llm.ngram_join as m
 
