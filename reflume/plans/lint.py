@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,19 +21,31 @@ class Options:
     bibliography_blocks: DataFrame | None = None  # doc_id, block_ids
 
 
-def analyse(blocks: DataFrame, options: Options = Options()) -> rules.Context:
-    """All tables of an analysis. Blocks are dealt by document once; every later join and window keeps that."""
-    blocks = blocks.repartition("doc_id")
+def analyse(blocks: DataFrame, options: Options = Options(), keep: bool = True) -> rules.Context:
+    """All tables of an analysis. Blocks are dealt by document once; every later join and window keeps that.
+
+    keep: hold the tables that several rules read (memory first, then disk), so
+    that texts are read and matched once; release() lets go of them.
+    """
+    hold = (lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)) if keep else (lambda df: df)
+    blocks = hold(blocks.repartition("doc_id"))
     documents, section = bibliography.bibliography(blocks, options.bibliography_blocks)
-    entries = bibliography.parse_entries(bibliography.entry_blocks(blocks, section))
-    extracted = citations.extract(blocks)
-    cited = citations.numbered(extracted)
-    matches = matching.combine(cited, matching.match_items(cited, entries, options.weights))
+    documents = hold(documents)
+    entries = hold(bibliography.parse_entries(bibliography.entry_blocks(blocks, section)))
+    extracted = hold(citations.extract(blocks))
+    cited = hold(citations.numbered(extracted))
+    matches = hold(matching.combine(cited, matching.match_items(cited, entries, options.weights)))
     return rules.Context(
         blocks, documents, cited, extracted.where("kind = 'invalid'"), entries, matches, matching.entry_status(entries, matches), matching.numeric_tokens(cited, entries)
     )
 
 
+def release(ctx: rules.Context) -> None:
+    for df in vars(ctx).values():
+        if df is not None:
+            df.unpersist()
+
+
 def lint(blocks: DataFrame, options: Options = Options()) -> DataFrame:
     """Ordered issues of all documents."""
     return rules.ordered(rules.run_rules(analyse(blocks, options), options.enabled, options.severity_overrides, options.custom_rules))

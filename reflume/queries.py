@@ -19,8 +19,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_held: list[rules.Context] = []
+
+
 def _context(spark: SparkSession, sf_dir: str) -> rules.Context:
-    return lint.analyse(manuscripts(spark, sf_dir))
+    """The analysis of all manuscripts; the one before it is let go of."""
+    while _held:
+        lint.release(_held.pop())
+    _held.append(lint.analyse(manuscripts(spark, sf_dir)))
+    return _held[0]
+
+
+def _issues(ctx: rules.Context, **options) -> DataFrame:
+    return rules.ordered(rules.run_rules(ctx, **options))
 
 
 # --- text ---------------------------------------------------------------------------------------
@@ -141,7 +152,7 @@ def missing_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rule(name: str) -> Query:
-    return lambda spark, sf: rules.RULES[name](_context(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("message").alias("first_message"))
+    return lambda spark, sf: rules.RULES[name](_context(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,24 +161,24 @@ def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def issues_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lint.lint(manuscripts(spark, sf_dir), lint.Options(severity_overrides={"CS007": "info", "CS001": "nonsense"}))
+    rows = _issues(_context(spark, sf_dir), overrides={"CS007": "info", "CS001": "nonsense"})
     return rows.select("doc_id", "position", "issue_id", "rule_id", "severity", "message", "block_id", "start", "end")
 
 
 def report_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     ctx = _context(spark, sf_dir)
-    return report.report_rows(ctx, rules.ordered(rules.run_rules(ctx))).select("doc_id", "citations", "references", "error", "warning", "ambiguous", "info")
+    return report.report_rows(ctx, _issues(ctx)).select("doc_id", "citations", "references", "error", "warning", "ambiguous", "info")
 
 
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     ctx = _context(spark, sf_dir)
-    return report.report_json(report.report_rows(ctx, rules.ordered(rules.run_rules(ctx))))
+    return report.report_json(report.report_rows(ctx, _issues(ctx)))
 
 
 def custom_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule of one's own: paragraphs that cite nothing before the bibliography."""
     quiet = rules.Rule("X001", "INFO", lambda ctx: ctx.blocks.where("text = 'Background of the question.'").select("doc_id", "block_id", F.lit("No citation here.").alias("message")))
-    rows = lint.lint(manuscripts(spark, sf_dir), lint.Options(enabled=[], custom_rules=[quiet]))
+    rows = _issues(_context(spark, sf_dir), enabled=[], custom=[quiet])
     return rows.groupBy("doc_id", "rule_id", "severity").agg(F.count("*").alias("n"))
 
 
@@ -178,7 +189,7 @@ def possible_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def issues_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = explore.issues_by_severity(lint.lint(manuscripts(spark, sf_dir)))
+    rows = explore.issues_by_severity(_issues(_context(spark, sf_dir)))
     return rows.select("doc_id", "severity", "rank", F.size("issue_ids").alias("n"))
 
 

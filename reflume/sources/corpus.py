@@ -40,7 +40,7 @@ def manuscripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = rows.join(sup.select("o", "s", "e"), ["o", "s"]).select("o", F.lit(10).alias("part"), "p", "s", F.lit("paragraph").alias("type"), text.alias("text"))
     docs = rows.select("o", "g").distinct()
     fixed = [
-        (0, "heading", F.lit(True), F.lit("Introduction")), (5, "paragraph", F.lit(True), F.lit("Background of the question.")),
+        (0, "heading", F.lit(True), F.lit("Introduction")), (5, "paragraph", F.lit(True), F.lit("Background of the question.")), (6, "paragraph", F.lit(True), F.lit("Scope and terms.")),
         (20, "paragraph", F.col("o") % 3 == 0, say("A claim by ", g, " (", z, ") stands alone.")), (21, "paragraph", F.col("o") % 5 == 0, F.lit("Bad marks [1, x] and [0] appear.")),
         (22, "paragraph", F.col("o") % 11 == 0, F.lit("Far index [99].")), (30, "heading", F.lit(True), F.lit("References")), (31, "paragraph", F.col("o") % 7 == 0, F.lit("Junk without a year.")),
     ]
