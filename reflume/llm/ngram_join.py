@@ -358,7 +358,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    told = scratch.write(docs.mapInArrow(_describe(width), "kind int, doc_id long, n int, cls long"), "described")
+    told = scratch.write(docs.mapInArrow(_describe(width), "kind int, doc_id long, n int, cls long"), "described", few=True)
     meta = told.where("kind = 0").select("doc_id", "n", "cls")
     top = (
         told.where("kind = 1").groupBy(F.col("cls").alias("token")).agg(F.sum("n").alias("many"))
@@ -371,7 +371,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
     index = docs.where("doc_id is not null").select("text").mapInArrow(_prefixes(width, percent, common, counts), "token long, salt int, cls long, n int, pos int")
     lists = scratch.write(
-        index.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "pos", "cls").mapInArrow(_lists(percent), _PAIRS), "lists"
+        index.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "pos", "cls").mapInArrow(_lists(percent), _PAIRS), "lists", few=True
     )
     portions = lists.where("kind = 2")
     heads = portions.groupBy("token").agg(F.min(F.struct("n", "cls")).alias("head")).select("token", F.col("head.cls").alias("leader"))
@@ -381,7 +381,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         .groupBy("leader", "cls").agg(F.lit(1).alias("one")).select("leader", "cls")
     )
     pairs = scratch.write(pairs, "pairs")
-    over = scratch.write(_compare(docs, reps, pairs, width, scratch, every=True), "overlaps")
+    over = scratch.write(_compare(docs, reps, pairs, width, scratch, every=True), "overlaps", few=True)
     linked = f"100L * both >= {percent}L * (leader_n + n - both)"
 
     ids = reps.select("cls", "rep")
