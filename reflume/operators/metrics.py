@@ -37,4 +37,4 @@ def timing(samples: DataFrame, by: list[str], value: str) -> DataFrame:
 def stage_elapsed(events: DataFrame, run: str, at: str) -> DataFrame:
     """events with `elapsed`: seconds to the next event of the run."""
     nxt = F.lead(at).over(Window.partitionBy(run).orderBy(at, "event_id"))
-    return events.withColumn("elapsed", F.unix_micros(nxt) / 1e6 - F.unix_micros(at) / 1e6)
+    return events.withColumn("elapsed", F.unix_micros(nxt.cast("timestamp")) / 1e6 - F.unix_micros(F.col(at).cast("timestamp")) / 1e6)
