@@ -152,4 +152,30 @@ SQL: dict[str, str] = {
     "stage_elapsed": """
       WITH e AS (SELECT user_id, (epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6) - epoch_us(ts) / 1e6 AS d FROM events)
       SELECT user_id, count(d) AS n, round(sum(d), 3) AS total, round(max(d), 3) AS longest FROM e GROUP BY user_id""",
+    "zotero_fields": f"""SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN {_fam('o_custkey')} END AS family, CASE WHEN o_orderkey % 5 <> 0 THEN {_year('o_custkey')} END AS year,
+      CASE WHEN o_orderkey % 5 <> 0 THEN 'b' END AS suffix, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 0.7 ELSE 1.0 END AS DOUBLE) AS confidence FROM orders""",
+    "word_keys": "SELECT c_custkey, c_mktsegment[1:3] AS family, CAST(c_custkey % 100 + CASE WHEN c_custkey % 100 < 30 THEN 2000 ELSE 1900 END AS INT) AS year FROM customer",
+    "numeric_outcomes": """
+      SELECT p_partkey, outcome, CASE WHEN outcome = 'valid' THEN CAST(d + 1 + CAST(k = 1 AS INT) AS INT) ELSE 0 END AS n, CAST(CASE WHEN outcome = 'valid' THEN CASE WHEN k = 1 THEN 0.9215 ELSE 0.95 END END AS DOUBLE) AS confidence FROM (
+        SELECT p_partkey, d, k, CASE WHEN p_size + d < 0 OR d < 0 OR p_size < 1 THEN 'malformed' WHEN k = 0 THEN 'mixed' ELSE 'valid' END AS outcome
+        FROM (SELECT p_partkey, p_size, p_partkey % 7 - 2 AS d, p_partkey % 4 AS k FROM part))""",
+    "container_tail": """SELECT p_partkey, concat('Annals of ', p_brand) AS container_title, CASE WHEN p_partkey % 3 < 2 THEN CAST(p_size AS VARCHAR) END AS volume, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey % 90 AS VARCHAR) END AS issue,
+      CASE WHEN p_partkey % 3 = 0 THEN concat(p_partkey, '–', p_partkey + 9) END AS pages FROM part""",
+    "author_split": f"""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN concat_ws('|', {_fam('(c_custkey + 1)')}, {_fam('(c_custkey + 2)')}, {_fam('(c_custkey + 3)')}) WHEN 1 THEN concat_ws('|', {_fam('(c_custkey + 1)')}, {_fam('(c_custkey + 2)')})
+      ELSE concat_ws('|', {_fam('c_custkey')}, {_fam('(c_custkey + 1)')}) END AS families, CASE c_custkey % 3 WHEN 0 THEN 'J.|J.|J.' WHEN 1 THEN 'J.|J.' ELSE 'Ann|Bob B.' END AS givens FROM customer""",
+    "reference_failures": "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'empty entry text' WHEN 1 THEN 'no (YYYY) year marker' WHEN 2 THEN 'no author segment before the year' END AS failure FROM supplier",
+    "name_prefix": f"""SELECT c_custkey, concat({_fam('c_custkey')}, ' and ', {_fam('(c_custkey + 1)')}) AS prefix, CAST(CASE c_custkey % 3 WHEN 0 THEN 16 WHEN 1 THEN 7 ELSE 5 END AS INT) AS at, CAST(2 AS INT) AS authors FROM customer""",
+    "field_alignment": "SELECT c_custkey, CAST(1 AS INT) AS n, CAST(6 AS INT) AS start, CAST(CASE c_custkey % 2 WHEN 0 THEN 1.0 ELSE 1.0 END AS DOUBLE) AS confidence FROM customer",
+    "biblio_scores": _KEYS + f"""SELECT {_DOC}, 'Introduction' AS heading, 'style' AS heading_type, CAST(0.15 AS DOUBLE) AS confidence FROM docs
+      UNION ALL SELECT {_DOC}, 'References', 'exact', round(0.35 + 0.15 + 0.2 + 0.3 * least(3 - CAST(o % 7 = 0 AS INT), count(*)) / 3, 4) FROM ent GROUP BY o""",
+    "biblio_recovery": _KEYS + f"SELECT {_DOC}, 'detected' AS outcome, CAST(NULL AS DOUBLE) AS confidence, CAST(CASE o % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS BIGINT) AS blocks FROM docs",
+    "reference_labels": _KEYS + f"""SELECT {_DOC}, e AS entry_index, concat({_fam('s')}, ', J. (', {_year('s')}, ') — ', word, ' ', lower({_fam('s')})) AS label FROM ent
+      UNION ALL SELECT {_DOC}, 0, 'Junk without a year.' FROM docs WHERE o % 7 = 0""",
+    "highlights": _KEYS + f"SELECT {_DOC}, 'CS007:0' AS issue_id, 'Bad marks ' AS before, '[1, x]' AS mark, ' and [0] appear.' AS after FROM docs WHERE o % 5 = 0",
+    "severity_override": _KEYS + f"""SELECT {_DOC}, count(*) FILTER (WHERE severity = 'ERROR' AND rule <> 'CS001') AS error, count(*) FILTER (WHERE severity = 'WARNING' OR rule = 'CS001') AS warning, CAST(0 AS BIGINT) AS ambiguous,
+      count(*) FILTER (WHERE rule = 'CS004') AS info FROM docs LEFT JOIN issues USING (o) GROUP BY o""",
+    "resolution_candidates": _KEYS + f"SELECT {_DOC}, count(DISTINCT c) AS n, CAST(max(len(candidates)) AS INT) AS most FROM verdict WHERE rel = 'AMBIGUOUS' GROUP BY o",
+    "stage_status": """SELECT o_orderkey AS run_id, o_orderkey % 5 AS done, ['reading-document', 'detecting-bibliography', 'finding-citations', 'matching-references', 'running-checks'][o_orderkey % 5 + 1] AS current, 4 - o_orderkey % 5 AS pending FROM orders""",
+    "docx_read": "SELECT CAST(n_nationkey AS VARCHAR) AS doc_id, CASE WHEN n_nationkey % 5 = 0 THEN 'NotADocxError' END AS error, CASE WHEN n_nationkey % 5 <> 0 THEN n_name END AS text FROM nation",
+    "utf16_lengths": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) * 0 + length(coalesce(text, '')) + len(regexp_extract_all(coalesce(text, ''), '[\\x{10000}-\\x{10FFFF}]')) + 2 AS BIGINT) AS units FROM documents",
 }

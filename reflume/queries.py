@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reflume import schema
+from reflume.functions import grammar
 from reflume.functions import text as tx
 from reflume.operators import bibliography, citations, explore, matching, metrics, regions, report, rules
 from reflume.plans import lint
-from reflume.sources.corpus import manuscripts
+from reflume.sources import docx
+from reflume.sources.corpus import family, manuscripts, year
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -228,6 +232,173 @@ def stage_elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id").agg(F.count("elapsed").alias("n"), F.round(F.sum("elapsed"), 3).alias("total"), F.round(F.max("elapsed"), 3).alias("longest"))
 
 
+# --- grammar over texts made from keys ------------------------------------------------------------------
+
+
+def _each(df: DataFrame, f: Callable[[dict], dict], ddl: str) -> DataFrame:
+    """Rows f(row) in Arrow batches."""
+    kind = bibliography._arrow(df.sparkSession, ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([f(row) for row in batch.to_pylist()], schema=kind)
+
+    return df.mapInArrow(run, ddl)
+
+
+def zotero_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name, when = family(F.col("o_custkey")), year(F.col("o_custkey"))
+    data = F.concat(F.lit('{"properties":{"plainCitation":"('), name, F.lit(", "), when, F.lit('b)"},"citationItems":[{"itemData":{"author":[{"family":"'), name, F.lit('","given":"J"}],"issued":{"date-parts":[['), when, F.lit("]]}}}]}"))
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("ADDIN ZOTERO_ITEM CSL_CITATION "), F.when(F.col("o_orderkey") % 5 == 0, F.substring(data, 1, 30)).otherwise(data)).alias("marker"))
+
+    def read(row: dict) -> dict:
+        cite = grammar.field_citation(row["marker"])
+        item = cite["items"][0] if cite["items"] else dict.fromkeys(("first_author", "year", "year_suffix"))
+        return {"o_orderkey": row["o_orderkey"], "family": item["first_author"], "year": item["year"], "suffix": item["year_suffix"], "confidence": cite["confidence"]}
+
+    return _each(rows, read, "o_orderkey long, family string, year int, suffix string, confidence double")
+
+
+def word_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat(F.lit("CITATION "), F.substring("c_mktsegment", 1, 3), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0"), F.lit(" \\l 1033"))
+
+    def read(row: dict) -> dict:
+        item = grammar.field_citation(row["marker"])["items"][0]
+        return {"c_custkey": row["c_custkey"], "family": item["first_author"], "year": item["year"]}
+
+    return _each(_table(spark, sf_dir, "customer").select("c_custkey", key.alias("marker")), read, "c_custkey long, family string, year int")
+
+
+def numeric_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("p_size"), (F.col("p_size") + F.col("p_partkey") % 7 - 2).cast("int")
+    body = F.concat(F.lit("["), a.cast("string"), F.lit("-"), b.cast("string"), F.when(F.col("p_partkey") % 4 == 0, ", x]").when(F.col("p_partkey") % 4 == 1, ",2 ]").otherwise("]"))
+
+    def read(row: dict) -> dict:
+        valid, invalid = grammar.numeric(row["text"])
+        return {"p_partkey": row["p_partkey"], "outcome": "valid" if valid else invalid[0]["reason"] if invalid else "ignored", "n": len(valid[0]["items"][0]["numbers"]) if valid else 0, "confidence": valid[0]["confidence"] if valid else None}
+
+    return _each(_table(spark, sf_dir, "part").select("p_partkey", body.alias("text")), read, "p_partkey long, outcome string, n int, confidence double")
+
+
+def container_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    tail = F.when(k % 3 == 0, F.concat(F.lit(", "), F.col("p_size").cast("string"), F.lit("("), (k % 90).cast("string"), F.lit("), pp. "), k.cast("string"), F.lit("–"), (k + 9).cast("string"))).when(k % 3 == 1, F.concat(F.lit(", "), F.col("p_size").cast("string"))).otherwise("")
+    rows = _table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("Annals of "), "p_brand", tail, F.lit(".")).alias("text"))
+    return _each(rows, lambda r: {"p_partkey": r["p_partkey"]} | grammar.container_tail(r["text"]), "p_partkey long, container_title string, volume string, issue string, pages string")
+
+
+def author_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = lambda k: F.concat(family(F.col("c_custkey") + k), F.lit(", J."))
+    text = F.when(F.col("c_custkey") % 3 == 0, F.concat(f(1), F.lit(", "), f(2), F.lit(", & "), f(3))).when(F.col("c_custkey") % 3 == 1, F.concat(f(1), F.lit("; "), f(2))).otherwise(F.concat(F.lit("Ann "), family(F.col("c_custkey")), F.lit(" and Bob B. "), family(F.col("c_custkey") + 1)))
+
+    def read(row: dict) -> dict:
+        found = [grammar.person(p) for p in grammar.people(row["text"])]
+        return {"c_custkey": row["c_custkey"], "families": "|".join(p["family"] for p in found), "givens": "|".join(p["given"] or "" for p in found)}
+
+    return _each(_table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), read, "c_custkey long, families string, givens string")
+
+
+def reference_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey") % 4
+    text = F.when(k == 0, " ").when(k == 1, "No year here.").when(k == 2, "(2017). Title.").otherwise(F.concat("s_name", F.lit(" (2017). Title.")))
+    return _each(_table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("text")), lambda r: {"s_suppkey": r["s_suppkey"], "failure": grammar.entry_failure(r["text"])}, "s_suppkey long, failure string")
+
+
+def name_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lead = F.when(F.col("c_custkey") % 3 == 0, "as discussed by ").when(F.col("c_custkey") % 3 == 1, "noted; ").otherwise("theo ")
+    text = F.concat(lead, family(F.col("c_custkey")), F.lit(" and "), family(F.col("c_custkey") + 1), F.lit(" (2001)"))
+
+    def read(row: dict) -> dict:
+        prefix, at = grammar.name_before(row["text"], row["text"].index("("))
+        return {"c_custkey": row["c_custkey"], "prefix": prefix, "at": at, "authors": len(grammar.author_date(row["text"])[0]["items"][0]["authors"])}
+
+    return _each(_table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), read, "c_custkey long, prefix string, at int, authors int")
+
+
+def field_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word processor's field placed on the plain citation of the same name and year; other years find no place."""
+    name, when = family(F.col("c_custkey")), year(F.col("c_custkey"))
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Shown ("), name, F.lit(", "), when, F.lit(") here.")).alias("text"), F.concat(F.lit("CITATION "), name, F.when(F.col("c_custkey") % 2 == 0, when).otherwise("2031")).alias("marker"))
+
+    def read(row: dict) -> dict:
+        found = grammar.citations(row["text"], [row["marker"]])[0]
+        return {"c_custkey": row["c_custkey"], "n": len(found), "start": found[0]["start"], "confidence": found[0]["confidence"]}
+
+    return _each(rows, read, "c_custkey long, n int, start int, confidence double")
+
+
+def biblio_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bibliography.candidates(manuscripts(spark, sf_dir))
+    return rows.select("doc_id", "heading", "heading_type", F.round("confidence", 4).alias("confidence"))
+
+
+def biblio_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = manuscripts(spark, sf_dir)
+    ids = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("doc-p0"), F.lit("doc-p1"))).when(F.col("o_orderkey") % 3 == 1, F.array(F.lit("doc-p1"))).otherwise(F.array(F.lit("no-such"), F.lit("none")))
+    chosen = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("doc_id"), ids.alias("block_ids")).join(blocks.select("doc_id").distinct(), "doc_id", "left_semi")
+    documents, section = bibliography.bibliography(blocks, chosen)
+    n = section.groupBy("doc_id").agg(F.count("*").alias("blocks"))
+    return documents.join(n, "doc_id", "left").select("doc_id", "outcome", "confidence", F.coalesce("blocks", F.lit(0)).alias("blocks"))
+
+
+def reference_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.reference_labels(_context(spark, sf_dir).entries)
+
+
+def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ctx = _context(spark, sf_dir)
+    return explore.highlights(ctx, rules.run_rules(ctx, enabled=["numeric"]).where("rule_id = 'CS007'"))
+
+
+def severity_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ctx = _context(spark, sf_dir)
+    return lint.severity_counts(ctx.documents, rules.run_rules(ctx, overrides={"CS004": "info", "CS001": "Warning", "CS006": "loud"}))
+
+
+def resolution_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = explore.resolution_candidates(_context(spark, sf_dir))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.size("candidates")).alias("most"))
+
+
+def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emitted citations against those that the keys call for, by document and family, and the gates."""
+    blocks = manuscripts(spark, sf_dir)
+    emitted = citations.extract(blocks).where("kind = 'citation' and block_ord > 2").select("doc_id", F.col("items")[0]["first_author"].alias("family"))
+    pairs = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct().where("l_partkey % 5 <> 3")
+    expected = pairs.select(F.col("l_orderkey").cast("string").alias("doc_id"), family(F.col("l_suppkey")).alias("family"))
+    got = metrics.precision_recall(metrics.multiset_overlap(emitted, expected, ["doc_id", "family"]))
+    measured = got.select(F.expr("stack(2, 'detection_precision', precision, 'detection_recall', recall) as (metric, value)"))
+    return metrics.gates(measured).select("metric", F.round("value", 6).alias("value"), "target", "passed")
+
+
+def stage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stages = F.array(*map(F.lit, schema.STAGES))
+    runs = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.element_at(stages, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("current"))
+    return explore.stage_status(runs, schema.STAGES).groupBy("run_id").agg(F.count_if(F.col("status") == "done").alias("done"), F.max(F.when(F.col("status") == "current", F.col("stage"))).alias("current"), F.count_if(F.col("status") == "pending").alias("pending"))
+
+
+def docx_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package for every nation, packed and read again; every fifth is cut short."""
+
+    def pack(row: dict) -> dict:
+        import io
+        import zipfile
+
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("[Content_Types].xml", "<Types/>")
+            z.writestr("word/document.xml", f'<w:document xmlns:w="w"><w:body><w:p><w:r><w:t>{row["n_name"]}</w:t></w:r></w:p></w:body></w:document>')
+        data = out.getvalue()
+        return {"doc_id": str(row["n_nationkey"]), "content": data[: len(data) // 2] if row["n_nationkey"] % 5 == 0 else data}
+
+    parsed = docx.parse_packages(_each(_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), pack, "doc_id string, content binary"))
+    return parsed.select("doc_id", F.col("error.name").alias("error"), F.get("blocks", F.lit(0))["text"].alias("text"))
+
+
+def utf16_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", tx.utf16_length(F.concat(F.coalesce("text", F.lit("")), F.lit("😀"))).cast("long").alias("units"))
+
+
 QUERIES: dict[str, Query] = {
     "fold_text": fold_text,
     "name_exact_key": _scalar(tx.name_exact_key, "k"),
@@ -265,4 +436,22 @@ QUERIES: dict[str, Query] = {
     "multiset_precision": multiset_precision,
     "perf_percentiles": perf_percentiles,
     "stage_elapsed": stage_elapsed,
+    "zotero_fields": zotero_fields,
+    "word_keys": word_keys,
+    "numeric_outcomes": numeric_outcomes,
+    "container_tail": container_tail,
+    "author_split": author_split,
+    "reference_failures": reference_failures,
+    "name_prefix": name_prefix,
+    "field_alignment": field_alignment,
+    "biblio_scores": biblio_scores,
+    "biblio_recovery": biblio_recovery,
+    "reference_labels": reference_labels,
+    "highlights": highlights,
+    "severity_override": severity_override,
+    "resolution_candidates": resolution_candidates,
+    "quality_gates": quality_gates,
+    "stage_status": stage_status,
+    "docx_read": docx_read,
+    "utf16_lengths": utf16_lengths,
 }
