@@ -37,6 +37,8 @@ def targets(sizes: list[int], weights: list[float], total: float, cap: float) ->
     out: list[float | None] = [None] * len(sizes)
     while True:
         free = [k for k, x in enumerate(out) if x is None]
+        if not free:  # the share is above what all sources may give
+            return [float(x) for x in out]
         left = total - sum(x for x in out if x is not None)
         weight = sum(weights[k] for k in free)
         over = [k for k in free if left * weights[k] / weight > cap * sizes[k]]
