@@ -22,10 +22,19 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group; all documents without words. Of rows with equal doc_id and set one stays."""
-    groups = ngram_join.jaccard_components(docs)
-    keep = groups.where("doc_id = component_id").select("doc_id", "n_shingles").distinct()
-    return docs.join(keep.select("doc_id").distinct(), "doc_id", "left_semi")
+    """The document of smallest doc_id of each group, and all documents without words or without a doc_id.
+
+    Of rows that share doc_id and text one stays.
+    """
+    scratch = Scratch(spark, "near-duplicates")
+    groups = scratch.write(ngram_join.jaccard_components(docs), "groups")
+    keep = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = docs.join(keep.select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    again = scratch.write(keep.where("n > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    many = kept.join(again, "doc_id", "left_semi").withColumn("_h", F.sha2("text", 256)).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    return kept.join(again, "doc_id", "left_anti").unionByName(many).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ What reaches the driver: one row a source and one number a block, both bounded
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -70,7 +70,7 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 
 def plan(
-    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, shards: int = 64, block_words: int = 50_000, seed: int = 7
+    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, shards: int = 64, block_words: int = 50_000, seed: int = 7, key: Column | None = None
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken, shards of every row of docs (doc_id, text, source, any more columns).
 
@@ -79,15 +79,17 @@ def plan(
     taken is the words that the mix takes of the row (repeats counted); shards
     holds the output shard of each of its copies. Null and empty texts have
     size 0. Equal rows are kept apart. An empty table gives an empty result.
+    key: one more column of the result, k, by which to find the rows again.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
+    more = ["k"] if key is not None else []
     sized = scratch.write(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source")).alias("key"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")).alias("h"),
+            F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")).alias("h"), *([key.alias("k")] if key is not None else []),
         ),
         "sized",
     )
@@ -95,7 +97,7 @@ def plan(
     if len(per) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     if not per:
-        return sized.select("doc_id", "size", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.col("size").alias("taken"), F.array().cast("array<int>").alias("shards"))
+        return sized.select("doc_id", "size", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.col("size").alias("taken"), F.array().cast("array<int>").alias("shards"), *more)
     per = sorted(((r.key, int(r.z)) for r in per), key=lambda x: (x[0] == "-", x[0]))
     sizes = [z for _, z in per]
     target = targets(sizes, [weights[k % len(weights)] for k in range(len(per))], share * sum(sizes), cap)
@@ -144,20 +146,30 @@ def plan(
     )
     flat = held.select("sid", "block", "whole", "edge")
     calm = rows.join(F.broadcast(flat), ["sid", "block"], "left").where("edge is null or not edge").withColumn("more", F.coalesce("whole", F.lit(False)))
-    cols = ["doc_id", "size", "source_size", "target", "passes", "sid", "block", "more"]
+    cols = ["doc_id", "size", "source_size", "target", "passes", "sid", "block", "more", *more]
     both = calm.select(*cols).unionByName(edge.select(*cols)).join(F.broadcast(places), ["sid", "block"], "left")
     times = F.when(F.col("size") > 0, F.col("passes") + F.col("more").cast("int")).otherwise(0)
     return both.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"),
-        F.slice(F.coalesce("places", F.array().cast("array<int>")), F.lit(1), times).alias("shards"),
+        F.slice(F.coalesce("places", F.array().cast("array<int>")), F.lit(1), times).alias("shards"), *more,
     )
 
 
 def mix(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     """The mixed rows themselves: the columns of docs, shard and copy, ordered at random within each shard.
 
-    Rows are told apart by doc_id, which must be unique and not null here.
+    Rows are found again by a hash of doc_id, text and source. Equal rows share
+    it; they count as one row with the copies of all of them. Rows with a null
+    doc_id are mixed like others. Columns named shard or copy are replaced.
     """
-    taken = plan(docs, seed=seed, **options).select(F.col("doc_id").alias("_id"), F.posexplode("shards").alias("copy", "shard"))
-    rows = docs.join(taken, docs["doc_id"] == taken["_id"]).drop("_id")
-    return rows.withColumn("_o", F.xxhash64(F.lit(seed + 1), "doc_id", "copy")).repartition("shard").sortWithinPartitions("shard", "_o").drop("_o")
+    scratch = Scratch(docs.sparkSession, "mix")
+    docs = docs.drop("shard", "copy")
+    key = F.xxhash64("doc_id", "text", "source", F.concat_ws("|", *(F.col(c).isNull().cast("string") for c in ("doc_id", "text", "source"))))
+    per = plan(docs, seed=seed, key=key, **options).groupBy("k").agg(F.flatten(F.collect_list("shards")).alias("shards"), F.count("*").alias("n"))
+    per = scratch.write(per, "copies")
+    rows, again = docs.withColumn("k", key), per.where("n > 1").select("k")
+    if not again.isEmpty():
+        rows = rows.join(again, "k", "left_anti").unionByName(rows.join(again, "k", "left_semi").dropDuplicates(["k"]))
+    rows = rows.join(per.where("size(shards) > 0").select("k", "shards"), "k").select("*", F.posexplode("shards").alias("copy", "shard")).drop("shards")
+    rows = rows.withColumn("_o", F.xxhash64(F.lit(seed + 1), "k", "copy"))
+    return rows.repartition("shard").sortWithinPartitions("shard", "_o").drop("_o", "k")

@@ -67,4 +67,8 @@ def test_mix_and_empty(spark):
     assert set(out.columns) == {"doc_id", "text", "source", "copy", "shard"}
     assert out.count() == sum(len(r.shards) for r in plan(df, shards=4, block_words=8).collect())
     assert plan(df.limit(0)).collect() == []
+    odd = spark.createDataFrame([(None, "a b", "s"), (7, "a b", "s"), (7, "a b", "s"), (7, "c d e", None), (8, None, "s")], "doc_id long, text string, source string")
+    mixed, planned = mix(odd, shards=2).collect(), plan(odd, shards=2).collect()
+    assert sum(len((r.text or "").split()) for r in mixed) == sum(r.taken for r in planned)
+    assert mix(odd.limit(0)).collect() == []
     assert [tuple(r)[:2] for r in plan(spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")).collect()] == [(1, 0)]
