@@ -360,10 +360,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
     told = scratch.write(docs.mapInArrow(_describe(width), "kind int, doc_id long, n int, cls long"), "described", few=True)
     meta = told.where("kind = 0").select("doc_id", "n", "cls")
-    top = (
-        told.where("kind = 1").groupBy(F.col("cls").alias("token")).agg(F.sum("n").alias("many"))
-        .orderBy(F.desc("many"), "token").limit(COMMON_TOKENS)
-    ).toPandas()
+    many = told.where("kind = 1").groupBy(F.col("cls").alias("token")).agg(F.sum("n").alias("many")).withColumn("level", F.floor(F.log("many") * 32).cast("int"))
+    # the levels, a thousand at most, say above which count no more than COMMON_TOKENS tokens are left
+    cut, total = None, 0
+    for r in sorted(many.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        total += r["count"]
+        if total > COMMON_TOKENS:
+            break
+        cut = r["level"]
+    top = (many.where("false") if cut is None else many.where(F.col("level") >= cut)).select("token", "many").toPandas()
     common = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(common)
     common, counts = common[order], top["many"].to_numpy(np.int64)[order]
