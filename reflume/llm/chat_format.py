@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reflume.llm.common import Scratch, bound_batches
+from reflume.llm.common import Scratch, bound_batches, tidy
 
 ROLES = ("system", "user", "assistant")
 NONE, SYSTEM, USER, ASSISTANT = range(4)
@@ -217,7 +217,7 @@ def format_chats(turns: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
         F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("nth"),
     )
     order = ["conv_id", F.asc_nulls_last("turn"), "role", "h", "nth"]
-    chunks = rows.repartitionByRange(n, *order).sortWithinPartitions("conv_id", F.asc_nulls_last("turn"), "role", "text", "nth").drop("h", "nth").mapInArrow(_pack(chunk_rows), _CHUNK)
+    chunks = rows.repartitionByRange(n, *order).sortWithinPartitions("conv_id", F.asc_nulls_last("turn"), "role", "text", "nth").drop("h", "nth").mapInArrow(tidy(_pack(chunk_rows)), _CHUNK)
     chunks = scratch.write(chunks, "chunks")
     parts = chunks.select("chunk", F.explode(F.arrays_zip(F.col("part_conv").alias("conv"), F.col("part_size").alias("size"), F.col("part_cost").alias("cost"))).alias("p")).select("chunk", "p.*")
     crossing = parts.groupBy("conv").count().where("count > 1").select(F.col("conv").alias("c"))
@@ -227,4 +227,4 @@ def format_chats(turns: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
         .groupBy("chunk").agg(F.collect_list(F.struct("conv", "entry", "leave", "first", "last")).alias("cuts"))  # two of a chunk at most
     )
     cuts = scratch.write(cuts, "cuts")
-    return chunks.join(cuts, "chunk", "left").select("part_conv", "part_size", "turn", "role", "text", "cuts").mapInArrow(_repair, _OUT)
+    return chunks.join(cuts, "chunk", "left").select("part_conv", "part_size", "turn", "role", "text", "cuts").mapInArrow(tidy(_repair), _OUT)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reflume.llm.common import bound_batches
+from reflume.llm.common import bound_batches, tidy
 from reflume.llm.words import cuts
 
 CATALOGUE_PRINTS = 2_000_000
@@ -234,7 +234,7 @@ def fingerprint(recordings: DataFrame, settings: Settings = Settings(), pcm: str
                 rows.append(prints(samples, np.array([0, len(samples)]), settings)[0].astype(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.int64()))], [*batch.schema.names, prints_column])
 
-    return recordings.mapInArrow(run, T.StructType([*recordings.schema.fields, T.StructField(prints_column, T.ArrayType(T.LongType()))]))
+    return recordings.mapInArrow(tidy(run), T.StructType([*recordings.schema.fields, T.StructField(prints_column, T.ArrayType(T.LongType()))]))
 
 
 def _with(recordings: DataFrame, catalogue: Catalogue) -> DataFrame:
@@ -253,7 +253,7 @@ def _with(recordings: DataFrame, catalogue: Catalogue) -> DataFrame:
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(counts)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", *(x.split(" ")[0] for x in _ALIGNED.split(", "))])
 
-    return recordings.mapInArrow(run, f"doc_id long, {_ALIGNED}")
+    return recordings.mapInArrow(tidy(run), f"doc_id long, {_ALIGNED}")
 
 
 def align(recordings: DataFrame, catalogue: DataFrame, settings: Settings = SHORT) -> DataFrame:

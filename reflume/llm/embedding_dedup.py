@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reflume.llm.common import Scratch, bound_batches, connected_components
+from reflume.llm.common import Scratch, bound_batches, connected_components, tidy
 
 
 @lru_cache(maxsize=8)
@@ -168,12 +168,12 @@ def cosine_components(
     vecs = classes.select("rep", "label", "dim", "m", "emb")
     key = ["t", "label", "dim", "sig"]
     crowded = scratch.write(
-        vecs.mapInArrow(_sign(tables, bits, seed, False), "t int, label long, dim int, sig long").groupBy(*key).count().where(F.col("count") > tile)
+        vecs.mapInArrow(tidy(_sign(tables, bits, seed, False)), "t int, label long, dim int, sig long").groupBy(*key).count().where(F.col("count") > tile)
         .select(*key, F.ceil(F.col("count") / tile).cast("int").alias("tiles")),
         "crowded",
     )
     spread = (
-        vecs.mapInArrow(_sign(tables, bits, seed, True), "t int, label long, dim int, sig long, rep long, m long, emb array<double>")
+        vecs.mapInArrow(tidy(_sign(tables, bits, seed, True)), "t int, label long, dim int, sig long, rep long, m long, emb array<double>")
         .join(crowded, key, "left")
         .withColumn("tiles", F.coalesce("tiles", F.lit(1)))
         .withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
@@ -182,7 +182,7 @@ def cosine_components(
     )
     group = [*key, "i", "j"]
     found = scratch.write(
-        spread.repartition(*group).sortWithinPartitions(*group).mapInArrow(_blocks(threshold, tables, bits, seed), "kind int, a long, b long"), "found"
+        spread.repartition(*group).sortWithinPartitions(*group).mapInArrow(tidy(_blocks(threshold, tables, bits, seed)), "kind int, a long, b long"), "found"
     )
     counts = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
     comps = connected_components(found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)

@@ -34,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reflume.llm.common import Scratch, bound_batches, connected_components
+from reflume.llm.common import Scratch, bound_batches, connected_components, tidy
 from reflume.llm.words import mix, shingle_sets
 
 #: Most common tokens that are known to every task: 12 bytes each.
 COMMON_TOKENS = 131_072
 #: Tokens of sets read between two looks at which of them are common.
-WINDOW_TOKENS = 4_000_000
+WINDOW_TOKENS = 2_000_000
 #: Documents of a window that make a token common.
 COMMON_IN_WINDOW = 2
 #: Partners that a member is compared with in each further step, before its component is looked at again; None: all that remain.
@@ -270,10 +270,10 @@ def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, scr
     wanted = docs.select("doc_id", "text").join(ids.hint("merge") if every else ids, "doc_id", "left_semi")
     texts = wanted.join(goes.hint("merge"), "doc_id").select("cls", "text", "goes")
     kind = "cls long, goes array<struct<leader:long,salt:int,member:int>>, tokens array<long>"
-    delivered = texts.mapInArrow(_sets(width), kind).select("cls", F.explode("goes").alias("to"), "tokens").select("to.leader", "to.salt", "cls", "to.member", "tokens")
+    delivered = texts.mapInArrow(tidy(_sets(width)), kind).select("cls", F.explode("goes").alias("to"), "tokens").select("to.leader", "to.salt", "cls", "to.member", "tokens")
     return (
         delivered.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "member", "cls")
-        .mapInArrow(_overlaps, "leader long, cls long, leader_n int, n int, both int")
+        .mapInArrow(tidy(_overlaps), "leader long, cls long, leader_n int, n int, both int")
     )
 
 
@@ -358,7 +358,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    told = scratch.write(docs.mapInArrow(_describe(width), "kind int, doc_id long, n int, cls long"), "described", few=True)
+    told = scratch.write(docs.mapInArrow(tidy(_describe(width)), "kind int, doc_id long, n int, cls long"), "described", few=True)
     meta = told.where("kind = 0").select("doc_id", "n", "cls")
     many = told.where("kind = 1").groupBy(F.col("cls").alias("token")).agg(F.sum("n").alias("many")).withColumn("level", F.floor(F.log("many") * 32).cast("int"))
     # the levels, a thousand at most, say above which count no more than COMMON_TOKENS tokens are left
@@ -374,9 +374,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     common, counts = common[order], top["many"].to_numpy(np.int64)[order]
     reps = scratch.write(meta.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep")), "reps")
 
-    index = docs.where("doc_id is not null").select("text").mapInArrow(_prefixes(width, percent, common, counts), "token long, salt int, cls long, n int, pos int")
+    index = docs.where("doc_id is not null").select("text").mapInArrow(tidy(_prefixes(width, percent, common, counts)), "token long, salt int, cls long, n int, pos int")
     lists = scratch.write(
-        index.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "pos", "cls").mapInArrow(_lists(percent), _PAIRS), "lists", few=True
+        index.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "pos", "cls").mapInArrow(tidy(_lists(percent)), _PAIRS), "lists", few=True
     )
     portions = lists.where("kind = 2")
     heads = portions.groupBy("token").agg(F.min(F.struct("n", "cls")).alias("head")).select("token", F.col("head.cls").alias("leader"))
@@ -418,7 +418,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         )
         found = scratch.write(
             rest.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "right", "cls")
-            .mapInArrow(_tiles(percent, most), "leader long, cls long, sure boolean")
+            .mapInArrow(tidy(_tiles(percent, most)), "leader long, cls long, sure boolean")
             .groupBy("leader", "cls").agg(F.max("sure").alias("sure")),
             "found",
         )

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reflume.llm.common import bound_batches, held_out, label_sample
+from reflume.llm.common import bound_batches, held_out, label_sample, tidy
 from reflume.llm.words import cuts, mix, word_hashes
 
 MOST_LABELLED = 3000
@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
                 part = batch.slice(first, len(counts))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(counts.astype(np.int32)), pa.array(rows, pa.binary())], ["doc_id", "y", "n", "x"])
 
-    told = label_sample(docs, labels, "quality", most).mapInArrow(features, "doc_id long, y int, n int, x binary").toPandas().sort_values(["doc_id", "x"])
+    told = label_sample(docs, labels, "quality", most).mapInArrow(tidy(features), "doc_id long, y int, n int, x binary").toPandas().sort_values(["doc_id", "x"])
     if share is None or told["y"].nunique() < 2:
         return None
     x = np.vstack([np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in told["x"]]).astype(float)
@@ -185,5 +185,5 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataF
                 yield pa.RecordBatch.from_arrays([ids, pa.array(p), pa.array(counts.astype(np.int64)), pa.array(top)], ["doc_id", "score", "n_passages", "top_attention"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, n_passages long, top_attention double")
+    out = docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, score double, n_passages long, top_attention double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_passages", "top_attention")

@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from reflume.llm.common import bound_batches
+from reflume.llm.common import bound_batches, tidy
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -341,7 +341,7 @@ def encode(docs: DataFrame, pieces: Pieces, ids: str = "piece_ids") -> DataFrame
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(coded: DataFrame, pieces: Pieces, ids: str = "piece_ids", text: str = "text") -> DataFrame:
@@ -358,7 +358,7 @@ def decode(coded: DataFrame, pieces: Pieces, ids: str = "piece_ids", text: str =
 
     from pyspark.sql import types as T
 
-    return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField(text, T.StringType())]))
+    return coded.mapInArrow(tidy(run), T.StructType([*coded.schema.fields, T.StructField(text, T.StringType())]))
 
 
 def parts(batch: pa.RecordBatch, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
@@ -392,4 +392,4 @@ def digests(docs: DataFrame, pieces: Pieces) -> DataFrame:
                 )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_pieces long, n_byte_pieces long, ids_md5 string, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_pieces long, n_byte_pieces long, ids_md5 string, round_trip boolean")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reflume.llm.common import Scratch, bound_batches
+from reflume.llm.common import Scratch, bound_batches, tidy
 
 #: Tokens of a block, and blocks of a group of the prefix scan.
 BLOCK_TOKENS = 131_072
@@ -51,7 +51,7 @@ def count_documents(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
 
     scratch = Scratch(blocks.sparkSession, "tokens")
     cols = blocks.select(F.col("file").cast("long").alias("file"), F.col("block").cast("long").alias("block"), "payload")
-    found = scratch.write(cols.mapInArrow(find, "file long, block long, size long, ends array<long>").withColumn("g", F.floor(F.col("block") / GROUP_BLOCKS)), "found")
+    found = scratch.write(cols.mapInArrow(tidy(find), "file long, block long, size long, ends array<long>").withColumn("g", F.floor(F.col("block") / GROUP_BLOCKS)), "found")
     one = found.select("file", "g", "block", "size", F.size("ends").cast("long").alias("docs"), F.when(F.size("ends") > 0, F.element_at("ends", -1)).alias("last"))
 
     def scan(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -102,7 +102,7 @@ def read_token_files(spark: SparkSession, path: str, width: int = 2, block_token
                     yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k]), pa.array([data.slice(at, min(block_tokens * width, data.size - at)).to_pybytes()], pa.binary()), pa.array([name])], ["file", "block", "payload", "path"])
 
     files = spark.read.format("binaryFile").load(path).select("path", F.xxhash64("path").alias("file"), "content")
-    return files.mapInArrow(cut, "file long, block long, payload binary, path string")
+    return files.mapInArrow(tidy(cut), "file long, block long, payload binary, path string")
 
 
 def write_tokens(docs: DataFrame, ranks: str, pattern: str, eod: int, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -146,7 +146,7 @@ def write_tokens(docs: DataFrame, ranks: str, pattern: str, eod: int, width: int
         if size:
             yield rows([block], [np.concatenate(held).tobytes()], [None], 0)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "file long, block long, payload binary, doc_ids array<long>, first long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "file long, block long, payload binary, doc_ids array<long>, first long")
 
 
 def document_tokens(docs: DataFrame, ranks: str, pattern: str, eod: int) -> DataFrame:

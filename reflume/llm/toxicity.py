@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reflume.llm.common import Scratch, bound_batches, held_out, label_sample
+from reflume.llm.common import Scratch, bound_batches, held_out, label_sample, tidy
 from reflume.llm.words import shingle_sets
 
 MOST_LABELLED = 4000
@@ -183,14 +183,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, voters:
     bound_batches(spark)
     scratch = Scratch(spark, "toxicity")
     share = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    picked = label_sample(docs, labels, "toxic", most).mapInArrow(_one_of_copies, "doc_id long, text string, y int, low long")
+    picked = label_sample(docs, labels, "toxic", most).mapInArrow(tidy(_one_of_copies), "doc_id long, text string, y int, low long")
     picked = scratch.write(picked.dropDuplicates(["y", "low"]).select("text", "y", "doc_id"), "sample")
     sizes = {r.y: r["count"] for r in picked.groupBy("y").count().collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     names = [*LEXICON, *PATTERNS]
     if toxic and clean:
         base = toxic / (toxic + clean)
-        counted = picked.select("text", "y").mapInArrow(_count_terms, "term string, toxic int, clean int").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+        counted = picked.select("text", "y").mapInArrow(tidy(_count_terms), "term string, toxic int, clean int").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
         rate = (F.col("t") + 0.0) / (F.col("t") + F.col("c"))
         # the gain in log-likelihood over the base rate; what chance would give the best of a million terms is left out
         gain = F.col("t") * F.log(rate / base) + F.when(F.col("c") > 0, F.col("c") * F.log((1 - rate) / (1 - base))).otherwise(0.0)
@@ -206,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, voters:
             hits = [finder.fired(t or "") for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([list(h) for h in hits], pa.list_(pa.int32())), pa.array([sum(n for k, n in h.items() if names[k][0] != "#") for h in hits], pa.int32()), batch.column(2)], ["y", "who", "n", "doc_id"])
 
-    told = picked.mapInArrow(votes, "y int, who array<int>, n int, doc_id long").toPandas().sort_values("doc_id")  # at most 2 * most rows
+    told = picked.mapInArrow(tidy(votes), "y int, who array<int>, n int, doc_id long").toPandas().sort_values("doc_id")  # at most 2 * most rows
     matrix = np.zeros((len(told), len(names)), np.float64)
     for i, who in enumerate(told["who"]):
         matrix[i, who] = 1
@@ -230,7 +230,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1).to_pylist()))], ["doc_id", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double").select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, score double").select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -243,4 +243,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
             at = batch.schema.get_field_index("text") if at is None else at
             yield batch.filter(pa.array(model.scores(batch.column(at).to_pylist()) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
