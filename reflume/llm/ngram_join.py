@@ -47,6 +47,8 @@ COMMON_IN_WINDOW = 2
 STEPS = (1, 8, 64, None)
 #: Members of a list's portion, and of a tile of the second step.
 PORTION = 1024
+#: Ids that may be broadcast: 8 bytes each.
+FEW_IDS = 500_000
 #: Members of one list held in memory at once.
 LONGEST_RUN = 1_000_000
 
@@ -264,10 +266,11 @@ def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, scr
     goes = sent.groupBy("cls", F.floor(F.col("to.salt") / 64).alias("part")).agg(F.collect_list("to").alias("goes"))
     goes = goes.join(reps, "cls").select("cls", "goes", F.col("rep").alias("doc_id"))
     goes = scratch.write(goes, "goes")
-    # ids alone decide which texts move: a small list is broadcast (by its size as written), and then few texts
-    # move; where most are wanted (every), texts are dealt out at every size, so that the cost stays in proportion
+    # ids alone decide which texts move: no more than FEW_IDS are broadcast, and then few texts move. Where most
+    # are wanted (every), texts are dealt out at every size, so that the cost stays in proportion
     ids = scratch.write(goes.select("doc_id").distinct(), "ids")
-    wanted = docs.select("doc_id", "text").join(ids.hint("merge") if every else ids, "doc_id", "left_semi")
+    few = not every and ids.count() <= FEW_IDS
+    wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi")
     texts = wanted.join(goes.hint("merge"), "doc_id").select("cls", "text", "goes")
     kind = "cls long, goes array<struct<leader:long,salt:int,member:int>>, tokens array<long>"
     delivered = texts.mapInArrow(tidy(_sets(width)), kind).select("cls", F.explode("goes").alias("to"), "tokens").select("to.leader", "to.salt", "cls", "to.member", "tokens")
