@@ -84,7 +84,7 @@ def local_name(name: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    """The five markup entities and decimal references up to 3 digits, in one pass in effect: & comes last."""
+    """The five markup entities (and &#39;) decoded once: & comes last, so its result is not read again."""
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(name), F.lit(char))
     return c
