@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 #: The patterns, the least length of what they must match, in the order of kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 12
+ASSIGN_FIRST = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""  # how every match of ASSIGN begins
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # 18 characters or more; a longer run has no other match in it
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
 KINDS = ("assign", "access", "hex", "random")
@@ -114,7 +115,7 @@ def scan(docs: DataFrame, model: list[float]) -> DataFrame:
     typed = lambda name, kind: F.transform(name, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
     # the first test of each kind is one pass that most texts fail
     found = docs.withColumns({
-        "_assign": F.when(text.rlike(r"(?i:passw|secret|token|api_?key)[a-z]*[\"']?\x20*[:=]"), _spans(text, ASSIGN, ASSIGN_LEAST)).otherwise(empty),
+        "_assign": F.when(text.rlike(ASSIGN_FIRST), _spans(text, ASSIGN, ASSIGN_LEAST)).otherwise(empty),
         "_access": F.when(text.contains("AKIA"), _spans(text, ACCESS)).otherwise(empty),
         "_hex": F.when(text.rlike("[0-9a-f]{16}"), _spans(text, HEX)).otherwise(empty),
         "_random": F.when(text.rlike("[A-Za-z0-9+/_=-]{16}"), _random(text, model)).otherwise(F.array().cast("array<struct<start:int,end:int,match:string,ratio:double>>")),

@@ -69,3 +69,16 @@ def test_redact_and_empty(spark, docs):
     out = {r.doc_id: r.text for r in redact(spark.createDataFrame([(1, "é token = abcdefabcdef1234567 end"), (2, None), (3, "calm")], "doc_id long, text string"), model).collect()}
     assert out == {1: "é [SECRET] end", 2: None, 3: "calm"}
     assert report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_keywords_in_any_case(spark, docs):
+    names = ["PASSWORD", "DB_PASSWD", "passwORD", "PassWd", "SECRET", "Token", "API_KEY", "ApiKey"]
+    rows = [(k, f"é {name}{mark}abcdEFGH12345678 end") for k, (name, mark) in enumerate((n, m) for n in names for m in ("=", ": ", "' = '"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = train(samples(docs[0]))
+    got = {r.doc_id: r for r in report(df, model).collect()}
+    for k, text in rows:
+        (start, _, end), = base(text)
+        listed = f"assign:{start}:{end}"
+        assert (got[k].n_assign, got[k].base_sha256) == (1, hashlib.sha256(listed.encode()).hexdigest()) and listed in got[k].spans.split(","), text
+    assert all("abcdEFGH12345678" not in r.text for r in redact(df, model).collect())
