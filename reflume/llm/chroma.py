@@ -57,7 +57,8 @@ class Settings:
 
 
 #: For unsigned 8-bit samples of short clips, such as the tables' texts read as samples.
-SHORT = Settings(rate=8000, frame=32, hop=16, width=6)
+#: A print takes 60 bytes, so a text of 63 bytes has one at every phase and one of 71 bytes has three.
+SHORT = Settings(rate=8000, frame=32, hop=4, width=6, sure_overlap=64)
 
 
 def filters(width: int) -> list[tuple[int, int, int, int]]:
@@ -200,20 +201,24 @@ class Catalogue:
             keys, back = np.unique(np.concatenate([keys, some]), return_inverse=True)
             votes = np.bincount(back, weights=np.concatenate([votes, counts]), minlength=len(keys)).astype(np.int64)
             at = stop
-        keep = votes >= self.settings.least_votes
+        keep = votes >= np.minimum(self.settings.least_votes, self.run_size[keys // span])
         keys, votes = keys[keep], votes[keep]
         run, offset = keys // span, keys % span - (1 << 31)
         best: dict[int, tuple] = {}
         for r, o, v in sorted(zip(run.tolist(), offset.tolist(), votes.tolist(), strict=True), key=lambda x: (-x[2], x[0], x[1])):
-            best.setdefault(int(self.run_item[r]), (r, o, v))
-        out = []
-        for k, (r, o, v) in best.items():
-            a, b = max(0, o), min(len(own), o + int(self.run_size[r]))
+            k, size = int(self.run_item[r]), int(self.run_size[r])
+            if k in best and v < best[k][1]:
+                continue
+            a, b = max(0, o), min(len(own), o + size)
+            if b - a < min(size, self.settings.sure_overlap):
+                continue
             theirs = self.flat[self.run_first[r] + a - o : self.run_first[r] + b - o]
-            wrong = np.bitwise_count(own[a:b] ^ theirs).sum() / (32 * (b - a))
-            if wrong <= self.settings.most_error * min(1.0, (b - a) / self.settings.sure_overlap) and b - a >= min(int(self.run_size[r]), self.settings.sure_overlap):
-                out.append((k, v, o * self.settings.hop - int(self.run_phase[r]), float(wrong), b - a))
-        return out
+            wrong = float(np.bitwise_count(own[a:b] ^ theirs).sum() / (32 * (b - a)))
+            # a run of fewer prints than the least votes counts when all its bits are equal
+            most = self.settings.most_error * min(1.0, (b - a) / self.settings.sure_overlap) if size >= self.settings.least_votes else 0.0
+            if wrong <= most and (k not in best or wrong < best[k][3]):
+                best[k] = (k, v, o * self.settings.hop - int(self.run_phase[r]), wrong, b - a)
+        return list(best.values())
 
 
 _ALIGNED = "n_prints long, prints_md5 string, n_items long, item_id long, votes long, item_at long, bit_error double"

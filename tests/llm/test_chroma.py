@@ -96,3 +96,19 @@ def test_tones_and_pcm_columns(spark):
     df = spark.createDataFrame([(1, tone(440)), (2, tone(440)), (3, tone(523.25)), (4, None)], "id long, pcm binary")
     got = {r.id: r.prints for r in fingerprint(df).collect()}
     assert got[1] == got[2] != got[3] and len(got[1]) > 20 and got[4] == []
+
+
+def test_short_items_at_every_offset(spark):
+    rng = random.Random(11)
+    sizes = (63, 66, 67, 71, 81, 100, 143, 150, 175, 190)
+    items = [(k, text(rng, 80)[:n]) for k, n in enumerate(sizes)]
+    rows, want = [], {}
+    for item, t in items:
+        for shift in range(16):
+            before = text(rng, 40)[: 100 + shift]
+            want[len(rows)] = (item, len(before), 0.0)
+            rows.append((len(rows), before + t + text(rng, 40)))
+    rows += [(1000 + k, text(rng, 100)) for k in range(50)]
+    got = {r.doc_id: r for r in align(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {k: (got[k].item_id, got[k].item_at, got[k].bit_error) for k in want} == want
+    assert all(r.n_items == (1 if k in want else 0) for k, r in got.items())
