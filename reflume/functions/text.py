@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from html.entities import html5
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,11 +85,33 @@ def local_name(name: Column) -> Column:
     return F.when(colons == 1, F.substring_index(name, ":", -1)).otherwise(name)
 
 
+#: Names of the reference's table; each stands for the character that HTML gives it.
+ENTITIES = {name: html5[name + ";"] for name in """
+    amp lt gt quot apos nbsp iexcl not shy ndash mdash hellip lsquo rsquo ldquo rdquo laquo raquo bull middot copy reg trade deg plusmn times divide micro
+    sect para euro pound yen cent Aacute aacute Agrave agrave Acirc acirc Atilde atilde Auml auml Eacute eacute Egrave egrave Ecirc ecirc Euml euml Iacute
+    iacute Igrave igrave Icirc icirc Iuml iuml Oacute oacute Ograve ograve Ocirc ocirc Otilde otilde Ouml ouml Uacute uacute Ugrave ugrave Ucirc ucirc
+    Uuml uuml Ntilde ntilde Ccedil ccedil szlig
+""".split()}
+_ENTITY = re.compile(f"&(?:#([0-9]+)|#[xX]([0-9a-fA-F]+)|({'|'.join(ENTITIES)}));")
+
+
+def _entity(m: re.Match) -> str:
+    decimal, hexadecimal, name = m.groups()
+    if name:
+        return ENTITIES[name]
+    digits = (decimal or hexadecimal).lstrip("0") or "0"
+    code = int(digits, 10 if decimal else 16) if len(digits) <= 7 else 0x110000
+    return m[0] if code > 0x10FFFF or 0xD800 <= code <= 0xDFFF else chr(code)
+
+
 def decode_entities(c: Column) -> Column:
-    """The five markup entities (and &#39;) decoded once: & comes last, so its result is not read again."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """Named, decimal and hex references decoded in one pass from the left; what is none of them, and code points that are no characters, stay."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([x if x is None or "&" not in x else _ENTITY.sub(_entity, x) for x in texts.to_pylist()], pa.string())
+
+    return run(c)
 
 
 def escape_html(c: Column) -> Column:
