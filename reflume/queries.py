@@ -41,13 +41,9 @@ def _issues(ctx: rules.Context, **options) -> DataFrame:
 # --- text ---------------------------------------------------------------------------------------
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first line of every document, a text of a name's size."""
-    return _table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", 2)[0].alias("line"))
-
-
 def _scalar(f, name: str) -> Query:
-    return lambda spark, sf: _lines(spark, sf).select("doc_id", f(F.col("line")).alias(name))
+    """f over the whole text of every document."""
+    return lambda spark, sf: _table(spark, sf, "documents").select("doc_id", f(F.coalesce("text", F.lit(""))).alias(name))
 
 
 def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 
 from reflume import queries
+from reflume.functions import grammar
 from reflume.functions import text as tx
 
 
@@ -40,3 +41,14 @@ def test_entity_decode_query(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: r.decoded for r in queries.entity_decode(spark, str(tmp_path)).collect()}
     assert got == {k: hashlib.md5(decode(t or "").encode()).hexdigest() for k, t in pages}
+
+
+def test_scalar_queries_take_whole_texts(spark, tmp_path):
+    texts = {1: "Nguyễn, V. A.", 2: "First line\nĐỗ, Q. (ed.)\n\n\u00c9mile  O'Neil-Smith\u3000end", 3: "\nsecond " + "x" * 80, 4: None, 5: ""}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ask = lambda name: {r.doc_id: r.k for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    plain = {k: t or "" for k, t in texts.items()}
+    assert ask("name_exact_key") == {k: grammar.name_key(t)[0] for k, t in plain.items()}
+    assert ask("strip_diacritics") == {k: grammar.plain(t) for k, t in plain.items()}
+    assert ask("initials_key") == {k: grammar.name_key(t)[2] for k, t in plain.items()}
+    assert ask("label_truncate") == {k: t if len(t) <= 72 else t[:69] + "..." for k, t in plain.items()}
