@@ -11,8 +11,8 @@ bits over the whole overlap. Catalogue items are printed at every phase of the
 hop, so where a recording holds a copy the prints of one phase are equal.
 
 The catalogue travels to every task; CATALOGUE_PRINTS bounds it. A larger one is
-taken in slices of items, each within the bound, and the best of all slices
-counts.
+taken in slices of different items, each within the bound (an item longer than it
+is a slice by itself), and the best of all slices counts.
 """
 
 from __future__ import annotations
@@ -55,6 +55,11 @@ class Settings:
         """Frames under one print: the widest filter and one more at either side for smoothing."""
         return self.width + 2
 
+    @property
+    def least(self) -> int:
+        """Samples under one print."""
+        return (self.reach - 1) * self.hop + self.frame
+
 
 #: For unsigned 8-bit samples of short clips, such as the tables' texts read as samples.
 #: A print takes 60 bytes, so a text of 63 bytes has one at every phase and one of 71 bytes has three.
@@ -151,6 +156,7 @@ class Catalogue:
 
     settings: Settings
     items: np.ndarray
+    times: np.ndarray  # how many rows each item stands for
     run_item: np.ndarray
     run_phase: np.ndarray
     run_first: np.ndarray
@@ -161,10 +167,10 @@ class Catalogue:
     run_of: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple[int, bytes]], settings: Settings) -> Catalogue:
+    def of(cls, rows: list[tuple[int, bytes, int]], settings: Settings) -> Catalogue:
         rows = sorted(rows)
         item, phase, size, flats = [], [], [], []
-        for k, (_, data) in enumerate(rows):
+        for k, (_, data, _) in enumerate(rows):
             samples = np.frombuffer(data, np.uint8)
             for shift in range(settings.hop):
                 flat, n = prints(samples[shift:], np.array([0, max(0, len(samples) - shift)]), settings)
@@ -176,7 +182,7 @@ class Catalogue:
         flat = np.concatenate(flats) if flats else np.zeros(0, np.uint32)
         size = np.array(size, np.int64)
         order = np.argsort(flat, kind="stable")
-        return cls(settings, np.array([r[0] for r in rows], np.int64), np.array(item, np.int64), np.array(phase, np.int64), np.cumsum(size) - size, size, flat, flat[order], order, np.repeat(np.arange(len(size)), size))
+        return cls(settings, np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), np.array(item, np.int64), np.array(phase, np.int64), np.cumsum(size) - size, size, flat, flat[order], order, np.repeat(np.arange(len(size)), size))
 
     def align(self, own: np.ndarray) -> list[tuple[int, int, int, float, int]]:
         """(item number, votes, offset in samples, share of wrong bits, prints that overlap) of the items that a recording's prints hold."""
@@ -252,15 +258,41 @@ def _with(recordings: DataFrame, catalogue: Catalogue) -> DataFrame:
                 for e, c in zip(ends, counts, strict=True):
                     own = flat[e - c : e]
                     found = catalogue.align(own) if c else []
-                    # most votes; then the smaller item
-                    top = min(found, key=lambda x: (-x[1], catalogue.items[x[0]]), default=None)
-                    rows.append((int(c), hashlib.md5(own.tobytes()).hexdigest(), len(found), *((int(catalogue.items[top[0]]), top[1], top[2], round(top[3], 6)) if top else (None,) * 4)))
+                    # most votes; then the smaller item, fewer wrong bits, the earlier place
+                    top = min(found, key=lambda x: (-x[1], catalogue.items[x[0]], round(x[3], 6), x[2]), default=None)
+                    rows.append((int(c), hashlib.md5(own.tobytes()).hexdigest(), sum(int(catalogue.times[x[0]]) for x in found), *((int(catalogue.items[top[0]]), top[1], top[2], round(top[3], 6)) if top else (None,) * 4)))
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(counts)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", *(x.split(" ")[0] for x in _ALIGNED.split(", "))])
 
     return recordings.mapInArrow(tidy(run), f"doc_id long, {_ALIGNED}")
 
 
+def _slices(items: DataFrame, bound: int) -> list[DataFrame]:
+    """items (item_id, pcm, n; no two rows alike) in slices of `bound` bytes at most, cut by a running sum over buckets of a hash.
+
+    A row longer than the bound is a slice of its own; none is left out.
+    """
+    size, key = F.octet_length("pcm").cast("long"), F.xxhash64("item_id", "pcm")
+    total = items.agg(F.sum(size)).first()[0] or 0
+    if total <= bound:
+        return [items]
+    buckets = 1 << (4 * total // bound).bit_length()
+    while True:
+        bucket = F.pmod(key, F.lit(buckets))
+        found = items.groupBy(bucket.alias("b")).agg(F.count("*").alias("rows"), F.sum(size).alias("bytes")).orderBy("b").collect()
+        if all(r.bytes <= bound or r.rows == 1 for r in found):
+            break
+        buckets *= 2
+    firsts, held = [], bound
+    for r in found:
+        if held + r.bytes > bound:
+            firsts.append(r.b)
+            held = 0
+        held += r.bytes
+    ends = [*firsts[1:], buckets]
+    return [items.where((bucket >= a) & (bucket < b)) for a, b in zip(firsts, ends, strict=True)]
+
+
 def align(recordings: DataFrame, catalogue: DataFrame, settings: Settings = SHORT) -> DataFrame:
     """doc_id, n_prints, prints_md5, n_items, item_id, votes, item_at, bit_error of every row of recordings.
 
@@ -274,19 +306,18 @@ def align(recordings: DataFrame, catalogue: DataFrame, settings: Settings = SHOR
     bound_batches(recordings.sparkSession)
     rows = recordings.select(F.col("doc_id").cast("long"), "text")
     items = catalogue.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("pcm"))
-    total = items.agg(F.sum(F.octet_length("pcm"))).first()[0] or 0  # every sample begins one print at most, over all phases
-    slices = max(1, -(-int(total) // CATALOGUE_PRINTS))
     sample = items.orderBy(F.xxhash64("item_id"), "item_id", "pcm").limit(CALIBRATE_ITEMS).collect()
     settings = calibrate([bytes(r.pcm) for r in sample], settings)
     parts = []
-    for k in range(slices):
-        mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).limit(CATALOGUE_PRINTS).collect()
-        parts.append(_with(rows, Catalogue.of([(r.item_id, bytes(r.pcm)) for r in mine], settings)))
-    if slices == 1:
+    # every sample begins one print at most, over all phases; shorter items have none
+    whole = items.where(F.octet_length("pcm") >= settings.least).groupBy("item_id", "pcm").agg(F.count("*").alias("n"))
+    for part in _slices(whole, CATALOGUE_PRINTS):
+        parts.append(_with(rows, Catalogue.of([(r.item_id, bytes(r.pcm), r.n) for r in part.collect()], settings)))
+    if len(parts) == 1:
         return parts[0]
     number = F.monotonically_increasing_id()  # the same scan gives every slice the same numbers
     whole = parts[0].withColumn("_row", number)
     for p in parts[1:]:
         whole = whole.unionByName(p.withColumn("_row", number))
-    best = F.struct("votes", (-F.col("item_id")).alias("less"), "item_id", "item_at", "bit_error")
+    best = F.struct("votes", (-F.col("item_id")).alias("less"), (-F.col("bit_error")).alias("right"), (-F.col("item_at")).alias("early"), "item_id", "item_at", "bit_error")
     return whole.groupBy("_row", "doc_id", "n_prints", "prints_md5").agg(F.sum("n_items").alias("n_items"), F.max(F.when(F.col("votes").isNotNull(), best)).alias("b")).select("doc_id", "n_prints", "prints_md5", "n_items", "b.item_id", "b.votes", "b.item_at", "b.bit_error")

@@ -112,3 +112,20 @@ def test_short_items_at_every_offset(spark):
     got = {r.doc_id: r for r in align(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert {k: (got[k].item_id, got[k].item_at, got[k].bit_error) for k in want} == want
     assert all(r.n_items == (1 if k in want else 0) for k, r in got.items())
+
+
+def test_slices_leave_no_item_out(spark, monkeypatch):
+    rng = random.Random(12)
+    items = [(7, "x") for _ in range(900)] + [(7, text(rng, 30)) for _ in range(12)] + [(k, "") for k in range(8, 400)]
+    items += [items[905]] * 3
+    kept = [t for _, t in items[900:912]]
+    rows = [(k, text(rng, 20) + " " + t + " " + text(rng, 20)) for k, t in enumerate(kept)]
+    df, cat = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(tuple, align(df, cat).collect()))
+    assert [(r[3], r[4]) for r in got] == [(4 if k == 5 else 1, 7) for k in range(12)]
+    monkeypatch.setattr(chroma, "CATALOGUE_PRINTS", 400)  # less than the rows of one id
+    sizes = []
+    of = chroma.Catalogue.of
+    monkeypatch.setattr(chroma.Catalogue, "of", lambda rows, settings: sizes.append([len(r[1]) for r in rows]) or of(rows, settings))
+    assert sorted(map(tuple, align(df, cat).collect())) == got
+    assert len(sizes) > 3 and all(sum(s) <= 400 or len(s) == 1 for s in sizes)
