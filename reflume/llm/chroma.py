@@ -23,7 +23,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reflume.llm.common import bound_batches, tidy
@@ -31,8 +31,8 @@ from reflume.llm.words import cuts
 
 CATALOGUE_PRINTS = 2_000_000
 CUT_BYTES = 1_000_000
-#: Items that set the filters' levels.
-CALIBRATE_ITEMS = 1000
+#: Bins of the histogram that sets the filters' levels, and how far they are moved, so that no level is a round number.
+LEVEL_BINS, BIN_SHIFT = 1 << 16, 1e-5
 HITS_AT_ONCE = 2_000_000
 
 
@@ -140,14 +140,30 @@ def prints(samples: np.ndarray, offsets: np.ndarray, settings: Settings, raw: li
     return out[own], n_prints
 
 
-def calibrate(recordings: list[bytes], settings: Settings) -> Settings:
-    """Settings whose levels are the quartiles of each filter over the recordings, so that all bits are worth the same."""
-    data = np.frombuffer(b"".join(recordings), np.uint8)
-    raw: list[np.ndarray] = []
-    prints(data, np.cumsum([0, *map(len, recordings)]), settings, raw)
-    if not raw:
+def calibrate(items: DataFrame, settings: Settings) -> Settings:
+    """Settings whose levels are the quartiles of each filter over all items (pcm), so that all bits are worth the same.
+
+    They are read from a histogram of LEVEL_BINS bins between -1 and 1, so a level is off by a bin at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in cuts(batch.column(0), CUT_BYTES):
+                raw: list[np.ndarray] = []
+                prints(data, offsets, settings, raw)
+                for k, x in enumerate(raw):
+                    bins, n = np.unique(np.floor((x + 1 + BIN_SHIFT) * (LEVEL_BINS / 2)).astype(np.int64), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k)), pa.array(bins), pa.array(n)], ["filter", "bin", "n"])
+
+    counts = items.select("pcm").mapInArrow(tidy(run), "filter long, bin long, n long").groupBy("filter", "bin").agg(F.sum("n").alias("n"))
+    one = Window.partitionBy("filter")
+    below, total = F.sum("n").over(one.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), F.sum("n").over(one)
+    found = counts.select("filter", "bin", below.alias("below"), total.alias("total")).groupBy("filter").agg(
+        *(F.min(F.when(F.col("below") >= q * F.col("total"), F.col("bin"))).alias(f"q{k}") for k, q in enumerate((0.25, 0.5, 0.75)))
+    ).orderBy("filter").collect()
+    if not found:
         return settings
-    return replace(settings, levels=tuple(tuple(np.quantile(x, [0.25, 0.5, 0.75]).tolist()) for x in raw))
+    return replace(settings, levels=tuple(tuple((r[f"q{k}"] + 1) * 2 / LEVEL_BINS - 1 - BIN_SHIFT for k in range(3)) for r in found))
 
 
 @dataclass
@@ -157,6 +173,7 @@ class Catalogue:
     settings: Settings
     items: np.ndarray
     times: np.ndarray  # how many rows each item stands for
+    data: list[bytes]
     run_item: np.ndarray
     run_phase: np.ndarray
     run_first: np.ndarray
@@ -182,10 +199,16 @@ class Catalogue:
         flat = np.concatenate(flats) if flats else np.zeros(0, np.uint32)
         size = np.array(size, np.int64)
         order = np.argsort(flat, kind="stable")
-        return cls(settings, np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), np.array(item, np.int64), np.array(phase, np.int64), np.cumsum(size) - size, size, flat, flat[order], order, np.repeat(np.arange(len(size)), size))
+        return cls(settings, np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), [r[1] for r in rows], np.array(item, np.int64), np.array(phase, np.int64), np.cumsum(size) - size, size, flat, flat[order], order, np.repeat(np.arange(len(size)), size))
+
+    def _apart(self, k: int, at: int, samples: np.ndarray) -> float:
+        """Mean difference of item k's samples and those at `at`."""
+        item = np.frombuffer(self.data[k], np.uint8)
+        a, b = max(0, at), min(len(samples), at + len(item))
+        return float(np.abs(samples[a:b].astype(np.int16) - item[a - at : b - at]).mean())
 
-    def align(self, own: np.ndarray) -> list[tuple[int, int, int, float, int]]:
-        """(item number, votes, offset in samples, share of wrong bits, prints that overlap) of the items that a recording's prints hold."""
+    def align(self, own: np.ndarray, samples: np.ndarray) -> list[tuple[int, int, int, float, int]]:
+        """(item number, votes, offset in samples, share of wrong bits, prints that overlap) of the items that a recording's prints hold. Its samples decide between places of equal prints."""
         low, high = np.searchsorted(self.sorted, own, "left"), np.searchsorted(self.sorted, own, "right")
         many = high - low
         where = np.flatnonzero(many)
@@ -222,8 +245,9 @@ class Catalogue:
             wrong = float(np.bitwise_count(own[a:b] ^ theirs).sum() / (32 * (b - a)))
             # a run of fewer prints than the least votes counts when all its bits are equal
             most = self.settings.most_error * min(1.0, (b - a) / self.settings.sure_overlap) if size >= self.settings.least_votes else 0.0
-            if wrong <= most and (k not in best or wrong < best[k][3]):
-                best[k] = (k, v, o * self.settings.hop - int(self.run_phase[r]), wrong, b - a)
+            at = o * self.settings.hop - int(self.run_phase[r])
+            if wrong <= most and (k not in best or wrong < best[k][3] or (wrong == best[k][3] and self._apart(k, at, samples) < self._apart(k, best[k][2], samples))):
+                best[k] = (k, v, at, wrong, b - a)
         return list(best.values())
 
 
@@ -255,9 +279,9 @@ def _with(recordings: DataFrame, catalogue: Catalogue) -> DataFrame:
                 flat, counts = prints(data, offsets, catalogue.settings)
                 ends = np.cumsum(counts)
                 rows = []
-                for e, c in zip(ends, counts, strict=True):
+                for e, c, a, b in zip(ends, counts, offsets[:-1], offsets[1:], strict=True):
                     own = flat[e - c : e]
-                    found = catalogue.align(own) if c else []
+                    found = catalogue.align(own, data[a:b]) if c else []
                     # most votes; then the smaller item, fewer wrong bits, the earlier place
                     top = min(found, key=lambda x: (-x[1], catalogue.items[x[0]], round(x[3], 6), x[2]), default=None)
                     rows.append((int(c), hashlib.md5(own.tobytes()).hexdigest(), sum(int(catalogue.times[x[0]]) for x in found), *((int(catalogue.items[top[0]]), top[1], top[2], round(top[3], 6)) if top else (None,) * 4)))
@@ -299,15 +323,13 @@ def align(recordings: DataFrame, catalogue: DataFrame, settings: Settings = SHOR
     recordings (doc_id, text) and catalogue (item_id, text): texts as UTF-8
     bytes are the samples. n_items counts the items found, item_id is the one of
     most votes (then the smallest), item_at the sample where it begins. Null and
-    short texts have no prints. The filters' levels are set by the first
-    CALIBRATE_ITEMS items in the order of a hash. Items of equal id are items of their own; those
+    short texts have no prints. The filters' levels are set by all items. Items of equal id are items of their own; those
     without an id or samples are left out.
     """
     bound_batches(recordings.sparkSession)
     rows = recordings.select(F.col("doc_id").cast("long"), "text")
     items = catalogue.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("pcm"))
-    sample = items.orderBy(F.xxhash64("item_id"), "item_id", "pcm").limit(CALIBRATE_ITEMS).collect()
-    settings = calibrate([bytes(r.pcm) for r in sample], settings)
+    settings = calibrate(items, settings)
     parts = []
     # every sample begins one print at most, over all phases; shorter items have none
     whole = items.where(F.octet_length("pcm") >= settings.least).groupBy("item_id", "pcm").agg(F.count("*").alias("n"))

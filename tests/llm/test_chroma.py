@@ -129,3 +129,16 @@ def test_slices_leave_no_item_out(spark, monkeypatch):
     monkeypatch.setattr(chroma.Catalogue, "of", lambda rows, settings: sizes.append([len(r[1]) for r in rows]) or of(rows, settings))
     assert sorted(map(tuple, align(df, cat).collect())) == got
     assert len(sizes) > 3 and all(sum(s) <= 400 or len(s) == 1 for s in sizes)
+
+
+def test_levels_are_quartiles_of_all_items(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = [(k, text(rng, 20) if k % 4 else "".join(chr(rng.randint(33, 126)) for _ in range(150))) for k in range(1500)]
+    used = []
+    of = chroma.Catalogue.of
+    monkeypatch.setattr(chroma.Catalogue, "of", lambda items, settings: used.append(settings) or of(items[:1], settings))
+    align(spark.createDataFrame([(1, "x")], "doc_id long, text string"), spark.createDataFrame(rows, "item_id long, text string"))
+    data, raw = [t.encode() for _, t in rows], []
+    prints(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), SHORT, raw)
+    want = np.array([np.quantile(x, [0.25, 0.5, 0.75]) for x in raw])
+    assert np.abs(np.array(used[0].levels) - want).max() < 1e-4
