@@ -8,12 +8,17 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of rows that one Arrow batch may hold on its way to Python.
 BATCH_BYTES = 16 * 1024 * 1024
+#: Edges that one task holds to contract them.
+EDGES_AT_ONCE = 1_000_000
+#: Rows of a few numbers each that are worth a task.
+TASK_ROWS = 100_000
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -43,9 +48,11 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder the cluster names in spark.checkpoint.dir. Where that is unset, a local one is made, on local masters only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.reflume.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="reflume-")
         spark.conf.set("spark.reflume.dir", root)
     return root.rstrip("/")
@@ -55,13 +62,16 @@ class Scratch:
     """Tables written to the shared folder in the course of one query.
 
     Writing cuts the lineage: a lost executor costs its own tasks only, never
-    the steps before a written table.
+    the steps before a written table. What is not dropped goes when the driver
+    ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/reflume/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        at, files = self._files(self.root)
+        files.deleteOnExit(at)  # the result may be read for as long as the driver lives
 
     def write(self, df: DataFrame, name: str = "t", compression: str = "snappy", few: bool = False) -> DataFrame:
         """few: dealt out anew into files of the advised size, where many tasks make little."""
@@ -73,13 +83,17 @@ class Scratch:
         out._reflume_path = path
         return out
 
+    def _files(self, path: str):
+        spark = self.spark.sparkContext
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
         for path in (getattr(t, "_reflume_path", None) for t in tables):
             if path:
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+                at, files = self._files(path)
+                files.delete(at, True)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -102,37 +116,91 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> D
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFrame:
-    """(node, component) of every node of the undirected edges (u, v); component is the smallest node.
+def least_nodes(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges, ascending, and the least node that each reaches."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    low = np.arange(len(nodes))
+    while len(a):
+        x, y = low[a], low[b]
+        go = x != y
+        np.minimum.at(low, np.maximum(x, y)[go], np.minimum(x, y)[go])  # x and y are roots
+        while (low[low] != low).any():
+            low = low[low]
+        a, b = a[go], b[go]
+    return nodes, nodes[low]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) -> stars (node, least node) of what EDGES_AT_ONCE edges of a task connect."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def stars() -> pa.RecordBatch:
+        node, low = least_nodes(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        far = node != low
+        return pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(low[far])], ["u", "v"])
+
+    for batch in batches:
+        held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+        if sum(len(x[0]) for x in held) >= EDGES_AT_ONCE:
+            yield stars()
+            held = []
+    if held:
+        yield stars()
+
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014). Each
-    half step writes the minima and the new edges, so that the join against the
-    minima can be split where one node holds many edges.
+def in_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """df in one task for each TASK_ROWS of its `rows` short rows, so that small steps do not pay for many tasks."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
+def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFrame:
+    """(node, component) of every node of the undirected edges (u, v), written; component is the smallest node.
+
+    Alternating large-star and small-star steps (Kiveris et al. 2014), until
+    every node has one parent and that is a root. Before each round tasks
+    contract what their own edges connect, so that few edges need no round at
+    all. Each half step writes the minima and the new edges, so that the join
+    against the minima can be split where one node holds many edges. edges
+    should be a written table, as they are counted.
     """
+    n = 2 * edges.count()
 
-    def star(e: DataFrame) -> DataFrame:
-        low = scratch.write(e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
+    def put(df: DataFrame, name: str) -> DataFrame:
+        return scratch.write(in_tasks(df, n), name)
+
+    def star(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+        low = put(e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
         return e.join(low, "u"), low
 
     def distinct(e: DataFrame) -> DataFrame:
         return e.where("u > v").groupBy("u", "v").agg(F.lit(1).alias("one")).select("u", "v")
 
-    now = scratch.write(distinct(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "edges")
-    seen = None
-    for _ in range(rounds):
+    def contract(e: DataFrame) -> DataFrame:
+        return in_tasks(e, n).mapInArrow(tidy(_contract), "u long, v long")
+
+    def settled(e: DataFrame) -> bool:
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("all"))
+        return in_tasks(ends.where("up > 1 or (up = 1 and all > 1)"), n).count() == 0
+
+    now = edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).where("u > v")
+    for k in range(rounds):
+        stars = put(distinct(contract(now)), "stars")
+        if k:
+            scratch.drop(now)
+        now = stars
+        if settled(now):
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         joined, low1 = star(both)
-        large = scratch.write(distinct(joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large")
+        large = put(distinct(joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large")
         joined, low2 = star(large)
         small = joined.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v")))
-        after = scratch.write(distinct(small), "small")
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
+        after = put(small.where("u > v"), "small")
         scratch.drop(now, low1, large, low2)
         now = after
-        if tuple(state) == seen:
-            break
-        seen = tuple(state)
     else:
         raise RuntimeError("components did not settle")
-    roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    roots = now.groupBy("v").agg(F.lit(1).alias("one")).select(F.col("v").alias("node"), F.col("v").alias("component"))
+    return put(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reflume.llm.common import Scratch, bound_batches, connected_components, tidy
+from reflume.llm.common import Scratch, bound_batches, connected_components, in_tasks, tidy
 from reflume.llm.words import mix, shingle_sets
 
 #: Most common tokens that are known to every task: 12 bytes each.
@@ -43,12 +43,15 @@ COMMON_TOKENS = 131_072
 WINDOW_TOKENS = 2_000_000
 #: Documents of a window that make a token common.
 COMMON_IN_WINDOW = 2
-#: Partners that a member is compared with in each further step, before its component is looked at again; None: all that remain.
-STEPS = (1, 8, 64, None)
+#: Partners that a member is compared with in each further step, before components are looked at again; None: all that
+#: remain. Only lists of which a step left pairs out are in the next.
+STEPS = (4, 64, None)
 #: Members of a list's portion, and of a tile of the second step.
 PORTION = 1024
 #: Ids that may be broadcast: 8 bytes each.
 FEW_IDS = 500_000
+#: Classes whose digests a task remembers, not to send their prefixes again.
+SEEN_CLASSES = 500_000
 #: Members of one list held in memory at once.
 LONGEST_RUN = 1_000_000
 
@@ -111,7 +114,7 @@ def _prefixes(width: int, percent: int, common: np.ndarray, counts: np.ndarray):
                 if name in seen:
                     continue
                 seen.add(name)
-                if len(seen) > 4_000_000:
+                if len(seen) > SEEN_CLASSES:
                     seen.clear()
                 most = n - (percent * n + 99) // 100 + 1
                 many = np.zeros(n, np.int64)
@@ -254,10 +257,12 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n_a, pa.int32()), pa.array(n_b, pa.int32()), pa.array(both, pa.int32())], ["leader", "cls", "leader_n", "n", "both"])
 
 
-def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, scratch: Scratch, every: bool = False) -> DataFrame:
-    """Exact overlaps of the pairs (leader, cls). A class's text is read once; its set goes where it is needed."""
+def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, rows: int, width: int, scratch: Scratch, every: bool = False) -> DataFrame:
+    """Exact overlaps of the pairs (leader, cls). A class's text is read once; its set goes where it is needed.
+
+    rows: how many pairs and classes there are.
+    """
     salts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / 256).cast("int").alias("salts"))
-    salts = scratch.write(salts, "salts")
     spread = pairs.join(salts, "leader").withColumn("salt", F.pmod(F.col("cls"), F.col("salts")).cast("int"))
     to = F.struct(F.col("leader"), F.col("salt"), F.col("member")).alias("to")
     lead = salts.select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("leader").alias("cls"))
@@ -265,11 +270,11 @@ def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, scr
     # a leader of very many portions gets several rows of targets, each bounded
     goes = sent.groupBy("cls", F.floor(F.col("to.salt") / 64).alias("part")).agg(F.collect_list("to").alias("goes"))
     goes = goes.join(reps, "cls").select("cls", "goes", F.col("rep").alias("doc_id"))
-    goes = scratch.write(goes, "goes")
+    goes = scratch.write(in_tasks(goes, rows), "goes")
     # ids alone decide which texts move: no more than FEW_IDS are broadcast, and then few texts move. Where most
     # are wanted (every), texts are dealt out at every size, so that the cost stays in proportion
-    ids = scratch.write(goes.select("doc_id").distinct(), "ids")
-    few = not every and ids.count() <= FEW_IDS
+    few = not every and goes.count() <= FEW_IDS
+    ids = goes.select("doc_id").distinct()
     wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi")
     texts = wanted.join(goes.hint("merge"), "doc_id").select("cls", "text", "goes")
     kind = "cls long, goes array<struct<leader:long,salt:int,member:int>>, tokens array<long>"
@@ -283,19 +288,21 @@ def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, scr
 def _tiles(percent: int, most: int | None):
     """Pairs of a tile in different components that the leader's overlaps leave open (sure false) or settle (sure true).
 
-    most: open pairs of a member at most.
+    most: open pairs of a member at most. A tile of which more are left out
+    gives its token with neither leader nor class.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
 
-        def one(c: list[np.ndarray]) -> list[np.ndarray]:
+        def one(c: list[np.ndarray]) -> tuple[list[np.ndarray], bool]:
             left, comp, cls, n, pos, lead, lead_n, both = c
             n = n.astype(np.int64)
             rows, cols = (np.flatnonzero(left == 0), np.flatnonzero(left == 1)) if (left == 1).any() else (np.arange(len(cls)),) * 2
             same = not (left == 1).any()
             made = []
             had = np.zeros(len(cols), np.int64)
+            cut = False
             for at in range(0, len(rows), 256):
                 r = rows[at : at + 256][:, None]
                 s = cols[None, :]
@@ -308,27 +315,42 @@ def _tiles(percent: int, most: int | None):
                     open_ &= r < s
                 settled = open_ & known & (both[r] + both[s] - lead_n[r] >= need)
                 if most:
+                    every = open_
+                    open_ = open_ & ~settled
                     open_ &= np.cumsum(open_, axis=1) <= most
                     open_ &= np.cumsum(open_, axis=0) + had <= most
                     had = had + open_.sum(0)
                     open_ |= settled
+                    cut = cut or bool((every & ~open_).any())
                 i, j = np.nonzero(open_)
                 a, b = r[i, 0], s[0, j]
                 sure = settled[i, j]
                 x, y = np.minimum(cls[a], cls[b]), np.maximum(cls[a], cls[b])
                 made.append([x, y, sure])
-            return [np.concatenate(z) for z in zip(*made, strict=True)] if made else []
+            return [np.concatenate(z) for z in zip(*made, strict=True)], cut
 
         def work(cols, last):
             key = cols[:4]
             change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key[:3]], axis=0)) + 1
             begins, ends = np.concatenate([[0], change]), np.concatenate([change, [len(key[0])]])
             stop = len(begins) if last else len(begins) - 1
-            parts = [x for k in range(stop) if (x := one([c[begins[k] : ends[k]] for c in cols[3:]]))]
-            made = None
-            if parts:
-                x = [np.concatenate(z) for z in zip(*parts, strict=True)]
-                made = pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1]), pa.array(x[2])], ["leader", "cls", "sure"])
+            parts, cut = [], []
+            for k in range(stop):
+                pairs, more = one([c[begins[k] : ends[k]] for c in cols[3:]])
+                parts.append(pairs)
+                if more:
+                    cut.append(int(cols[0][begins[k]]))
+            x, y, sure = (np.concatenate(z) for z in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
+            n, m = len(x), len(cut)
+            made = pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(cut, pa.int64())]),
+                    pa.concat_arrays([pa.array(x), pa.nulls(m, pa.int64())]),
+                    pa.concat_arrays([pa.array(y), pa.nulls(m, pa.int64())]),
+                    pa.concat_arrays([pa.array(sure.astype(bool)), pa.nulls(m, pa.bool_())]),
+                ],
+                ["token", "leader", "cls", "sure"],
+            )
             return made, None if last else [c[begins[-1] :] for c in cols]
 
         for batch in batches:
@@ -338,16 +360,33 @@ def _tiles(percent: int, most: int | None):
             if rest is not None:
                 cols = [np.concatenate([a, b]) for a, b in zip(rest, cols, strict=True)]
             made, rest = work(cols, False)
-            if made is not None:
-                yield made
+            yield made
         if rest is not None:
-            made, _ = work(rest, True)
-            if made is not None:
-                yield made
+            yield work(rest, True)[0]
 
     return run
 
 
+def _common(told: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most common tokens of told (token, n), ascending, and their counts: COMMON_TOKENS at most.
+
+    The levels of counts, a thousand at most, say above which count so many are left.
+    """
+    many = told.groupBy("token").agg(F.sum("n").alias("many")).withColumn("level", F.floor(F.log("many") * 32).cast("int"))
+    cut, total = None, 0
+    for r in sorted(many.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        total += r["count"]
+        if total > COMMON_TOKENS:
+            break
+        cut = r["level"]
+    if cut is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    top = many.where(F.col("level") >= cut).select("token", "many").toPandas()
+    common = top["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(common)
+    return common[order], top["many"].to_numpy(np.int64)[order]
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text, any more columns).
 
@@ -361,26 +400,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    told = scratch.write(docs.mapInArrow(tidy(_describe(width)), "kind int, doc_id long, n int, cls long"), "described", few=True)
+    told = scratch.write(docs.mapInArrow(tidy(_describe(width)), "kind int, doc_id long, n int, cls long"), "described")
     meta = told.where("kind = 0").select("doc_id", "n", "cls")
-    many = told.where("kind = 1").groupBy(F.col("cls").alias("token")).agg(F.sum("n").alias("many")).withColumn("level", F.floor(F.log("many") * 32).cast("int"))
-    # the levels, a thousand at most, say above which count no more than COMMON_TOKENS tokens are left
-    cut, total = None, 0
-    for r in sorted(many.groupBy("level").count().collect(), key=lambda r: -r["level"]):
-        total += r["count"]
-        if total > COMMON_TOKENS:
-            break
-        cut = r["level"]
-    top = (many.where("false") if cut is None else many.where(F.col("level") >= cut)).select("token", "many").toPandas()
-    common = top["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(common)
-    common, counts = common[order], top["many"].to_numpy(np.int64)[order]
-    reps = scratch.write(meta.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep")), "reps")
+    n_docs = meta.count()
+    common, counts = _common(told.where("kind = 1").select(F.col("cls").alias("token"), "n"))
+    classes = meta.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    reps = scratch.write(in_tasks(classes, n_docs), "reps")
 
     index = docs.where("doc_id is not null").select("text").mapInArrow(tidy(_prefixes(width, percent, common, counts)), "token long, salt int, cls long, n int, pos int")
     lists = scratch.write(
-        index.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "pos", "cls").mapInArrow(tidy(_lists(percent)), _PAIRS), "lists", few=True
+        index.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "pos", "cls").mapInArrow(tidy(_lists(percent)), _PAIRS), "lists"
     )
+    n_listed = lists.count()
     portions = lists.where("kind = 2")
     heads = portions.groupBy("token").agg(F.min(F.struct("n", "cls")).alias("head")).select("token", F.col("head.cls").alias("leader"))
     bridges = portions.select("token", "cls").join(heads, "token").where("cls <> leader").select("leader", "cls")
@@ -388,28 +419,29 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         lists.where("kind = 0").select("leader", "cls").unionByName(bridges)
         .groupBy("leader", "cls").agg(F.lit(1).alias("one")).select("leader", "cls")
     )
-    pairs = scratch.write(pairs, "pairs")
-    over = scratch.write(_compare(docs, reps, pairs, width, scratch, every=True), "overlaps", few=True)
+    pairs = scratch.write(in_tasks(pairs, n_listed), "pairs")
+    n_pairs = pairs.count()
+    over = scratch.write(_compare(docs, reps, pairs, n_docs + n_pairs, width, scratch, every=True), "overlaps")
     linked = f"100L * both >= {percent}L * (leader_n + n - both)"
 
-    ids = reps.select("cls", "rep")
-    named = lambda df: (
-        df.join(ids.withColumnsRenamed({"cls": "leader", "rep": "u"}), "leader").join(ids.withColumnsRenamed({"rep": "v"}), "cls").select("u", "v")
-    )
-    links = scratch.write(named(over.where(linked).select("leader", "cls")), "links")
+    # from here on nodes are classes
+    edge = lambda df: df.select(F.col("leader").alias("u"), F.col("cls").alias("v"))
+    comps = connected_components(edge(over.where(linked)), scratch)
     tried = pairs.select(F.least("leader", "cls").alias("leader"), F.greatest("leader", "cls").alias("cls"))
     listed = lists.where("kind = 1").select("token", "cls", "n", "pos", "leader", "leader_n").join(over.select("leader", "cls", "both"), ["leader", "cls"], "left")
-    listed = scratch.write(listed.withColumn("both", F.when(F.col("leader") == F.col("cls"), F.col("n")).otherwise(F.coalesce("both", F.lit(-1)))), "listed")
+    listed = listed.withColumn("both", F.when(F.col("leader") == F.col("cls"), F.col("n")).otherwise(F.coalesce("both", F.lit(-1))))
+    listed = scratch.write(in_tasks(listed, n_listed + n_pairs), "listed")
     scratch.drop(lists)
     for most in STEPS:
-        comps = scratch.write(connected_components(links, scratch).join(ids.withColumnRenamed("rep", "node"), "node").select("cls", "component"), "components")
-        members = listed.join(comps, "cls", "left").withColumn("alone", F.col("component").isNull().cast("int")).withColumn("comp", F.coalesce("component", F.xxhash64("cls"))).drop("component")
+        members = (
+            listed.join(comps.withColumnRenamed("node", "cls"), "cls", "left")
+            .withColumn("alone", F.col("component").isNull().cast("int")).withColumn("comp", F.coalesce("component", "cls")).drop("component")
+        )
         members = scratch.write(members, "members")
         mixed = (
-            members.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("alone", "comp")).alias("lo"), F.max(F.struct("alone", "comp")).alias("hi"))
+            members.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
             .where("m >= 3 and lo <> hi").select("token", F.ceil(F.col("m") / PORTION).cast("int").alias("tiles"))
         )
-        mixed = scratch.write(mixed, "mixed")
         rest = (
             members.join(mixed, "token")
             .withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
@@ -419,20 +451,35 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
                 (F.col("tile") > F.col("other")).cast("int").alias("right"), "comp", "cls", "n", "pos", "leader", "leader_n", "both",
             )
         )
-        found = scratch.write(
+        found = (
             rest.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "right", "cls")
-            .mapInArrow(tidy(_tiles(percent, most)), "leader long, cls long, sure boolean")
-            .groupBy("leader", "cls").agg(F.max("sure").alias("sure")),
-            "found",
+            .mapInArrow(tidy(_tiles(percent, most)), "token long, leader long, cls long, sure boolean")
+            .groupBy("token", "leader", "cls").agg(F.max("sure").alias("sure"))
         )
-        opened = scratch.write(found.where("not sure").join(tried, ["leader", "cls"], "left_anti").select("leader", "cls"), "opened")
-        more = _compare(docs, reps, opened, width, scratch).where(linked).select("leader", "cls").unionByName(found.where("sure").select("leader", "cls"))
-        links = scratch.write(links.unionByName(named(more)), "links")
-        tried = tried.unionByName(opened)
-        scratch.drop(members, mixed, comps)
-    nodes = scratch.write(connected_components(links, scratch).withColumnRenamed("node", "rep"), "nodes")
-    classes = scratch.write(reps.join(nodes, "rep", "left").select("cls", F.coalesce("component", "rep").alias("component")), "classes")
-    return meta.join(classes, "cls", "left").select(
+        found = scratch.write(in_tasks(found, n_listed), "found")
+        n_found = found.count()
+        opened = found.where("not sure").join(tried, ["leader", "cls"], "left_anti").select("leader", "cls")
+        opened = scratch.write(in_tasks(opened, n_found + n_pairs), "opened")
+        n_opened = opened.count()
+        more = edge(found.where("sure"))
+        if n_opened:
+            over = scratch.write(_compare(docs, reps, opened, n_docs + n_opened, width, scratch).where(linked), "links")
+            more = more.unionByName(edge(over))
+            tried, n_pairs = tried.unionByName(opened), n_pairs + n_opened
+        if not more.isEmpty():
+            comps = connected_components(more.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v"))), scratch)
+        again = found.where("token is not null").select("token")
+        scratch.drop(members)
+        if again.isEmpty():
+            break
+        listed = scratch.write(in_tasks(listed.join(again, "token", "left_semi"), n_listed), "listed")
+        n_listed = listed.count()
+    named = reps.join(comps.withColumnRenamed("node", "cls"), "cls").select("cls", "component", "rep")
+    named = scratch.write(in_tasks(named, n_docs), "named")
+    least = scratch.write(in_tasks(named.groupBy("component").agg(F.min("rep").alias("least")), n_docs), "least")
+    named = scratch.write(in_tasks(named.join(least, "component").select("cls", "least"), n_docs), "classes")
+    classes = meta.join(reps, "cls", "left").join(named, "cls", "left")
+    return classes.select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"),
+        F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("least", "rep")).alias("component_id"),
     )
