@@ -105,7 +105,8 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> D
     """At most `most` labelled documents of each label outside the held-out fold, in id-hash order.
 
     Returns doc_id, text, y. The ids and labels are bounded by `most`, which
-    allows the broadcast; of several labels of one id the smallest counts.
+    allows the broadcast; of several labels of one id the smallest counts, and
+    of several texts the least.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out())
@@ -113,7 +114,16 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> D
     )
     one = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     picked = one(0).unionByName(one(1))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, with underscores after it until no column of docs has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def least_nodes(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -18,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reflume.llm.common import free_name
+
 #: The patterns, the least length of what they must match, in the order of kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 12
@@ -105,24 +107,26 @@ def _random(text: Column, model: list[float]) -> Column:
     return F.filter(scored, lambda s: (s["ratio"] >= LEAST_RATIO) & (s["ratio"] >= LEAST_MEAN * (s["end"] - s["start"] - 1)))
 
 
-def scan(docs: DataFrame, model: list[float]) -> DataFrame:
-    """docs with `secrets`: array of (start, kind, end), kind an index of KINDS, by start and kind.
+def scan(docs: DataFrame, model: list[float], name: str = "secrets") -> DataFrame:
+    """docs with a column `name`: array of (start, kind, end), kind an index of KINDS, by start and kind.
 
-    Null texts count as empty. A column `secrets` of docs is replaced.
+    Null texts count as empty. A column of that name is replaced.
     """
     empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
     text = F.coalesce(F.col("text"), F.lit(""))
     typed = lambda name, kind: F.transform(name, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
+    assign, access, hexes, random, base = names = [free_name(docs, f"_{x}") for x in ("assign", "access", "hex", "random", "base")]
+    none = F.array().cast("array<struct<start:int,end:int,match:string,ratio:double>>")
     # the first test of each kind is one pass that most texts fail
     found = docs.withColumns({
-        "_assign": F.when(text.rlike(ASSIGN_FIRST), _spans(text, ASSIGN, ASSIGN_LEAST)).otherwise(empty),
-        "_access": F.when(text.contains("AKIA"), _spans(text, ACCESS)).otherwise(empty),
-        "_hex": F.when(text.rlike("[0-9a-f]{16}"), _spans(text, HEX)).otherwise(empty),
-        "_random": F.when(text.rlike("[A-Za-z0-9+/_=-]{16}"), _random(text, model)).otherwise(F.array().cast("array<struct<start:int,end:int,match:string,ratio:double>>")),
+        assign: F.when(text.rlike(ASSIGN_FIRST), _spans(text, ASSIGN, ASSIGN_LEAST)).otherwise(empty),
+        access: F.when(text.contains("AKIA"), _spans(text, ACCESS)).otherwise(empty),
+        hexes: F.when(text.rlike("[0-9a-f]{16}"), _spans(text, HEX)).otherwise(empty),
+        random: F.when(text.rlike("[A-Za-z0-9+/_=-]{16}"), _random(text, model)).otherwise(none),
     })
-    found = found.withColumn("_base", F.concat(typed("_assign", 0), typed("_access", 1), typed("_hex", 2)))
-    free = F.filter(typed("_random", 3), lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return found.withColumn("secrets", F.array_sort(F.concat("_base", free))).drop("_assign", "_access", "_hex", "_random", "_base")
+    found = found.withColumn(base, F.concat(typed(assign, 0), typed(access, 1), typed(hexes, 2)))
+    free = F.filter(typed(random, 3), lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    return found.withColumn(name, F.array_sort(F.concat(base, free))).drop(*names)
 
 
 def digest(spans: Column) -> Column:
@@ -140,13 +144,18 @@ def report(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: list[float] | None = None, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span in text replaced by `mark`; overlapping spans by one. Null texts stay null."""
+    """docs with every span in text replaced by `mark`; overlapping spans by one. Null texts stay null, other columns as they are."""
     model = train(samples(docs)) if model is None else model
-    found = scan(docs, model)
+    spans, done = free_name(docs, "_secrets"), free_name(docs, "_done")
+    found = scan(docs, model, spans)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out"),
-    )
-    done = found.withColumn("_done", F.when(F.size("secrets") > 0, F.aggregate("secrets", start, step)))
-    return done.withColumn("text", F.when(F.col("_done").isNull(), F.col("text")).otherwise(F.concat(F.col("_done.out"), F.substring(F.col("text"), F.col("_done.at") + 1, F.length("text"))))).drop("_done", "secrets")
+
+    def step(acc: Column, s: Column) -> Column:
+        before = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
+        out = F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], before, F.lit(mark)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+    found = found.withColumn(done, F.when(F.size(spans) > 0, F.aggregate(spans, start, step)))
+    rest = F.substring(F.col("text"), F.col(f"{done}.at") + 1, F.length("text"))
+    text = F.when(F.col(done).isNull(), F.col("text")).otherwise(F.concat(F.col(f"{done}.out"), rest))
+    return found.withColumn("text", text).drop(done, spans)

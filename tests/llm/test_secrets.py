@@ -82,3 +82,33 @@ def test_keywords_in_any_case(spark, docs):
         listed = f"assign:{start}:{end}"
         assert (got[k].n_assign, got[k].base_sha256) == (1, hashlib.sha256(listed.encode()).hexdigest()) and listed in got[k].spans.split(","), text
     assert all("abcdEFGH12345678" not in r.text for r in redact(df, model).collect())
+
+
+def test_random_spans_equal_a_plain_version(spark, docs):
+    df, rows = docs
+    model = train(samples(df))
+    rng = random.Random(4)
+    blob = lambda: base64.b64encode(rng.randbytes(rng.randint(9, 30))).decode()
+    more = [(1000 + k, f"é {blob()} {rng.choice(WORDS)}_{rng.choice(WORDS)} token={blob()} {blob()}{hashlib.md5(b'x').hexdigest()}") for k in range(80)]
+    rows = [*rows, *more]
+    df = df.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    got = {r.doc_id: r.spans for r in report(df, model).collect()}
+    some = 0
+    for k, text in rows:
+        text = text or ""
+        taken = base(text)
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
+            ratio = sum(model[ord(a) * 128 + ord(b)] for a, b in zip(m[0], m[0][1:], strict=False))
+            free = not any(a < m.end() and m.start() < c for a, _, c in taken)
+            if free and ratio >= 6.0 and ratio >= 0.25 * (len(m[0]) - 1):
+                want.append(f"random:{m.start()}:{m.end()}")
+        assert [s for s in got[k].split(",") if s.startswith("random")] == want, text
+        some += len(want)
+    assert some > 5
+
+
+def test_redact_keeps_columns_of_any_name(spark, docs):
+    df = spark.createDataFrame([(1, "token = abcdefabcdef1234567 end", [1], "a", 2, 3)], "doc_id long, text string, secrets array<int>, _hex string, _done int, _secrets int")
+    out = redact(df, train(samples(docs[0])))
+    assert out.columns == df.columns and tuple(out.first()) == (1, "[SECRET] end", [1], "a", 2, 3)
