@@ -25,10 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reflume.llm.common import Scratch
+from reflume.llm.common import Scratch, free_name
 
 MOST_SOURCES = 100_000
 MOST_BLOCKS = 65_536
+#: Words of an output shard, the least number of shards, and of blocks a shard.
+SHARD_WORDS, LEAST_SHARDS, SHARD_BLOCKS = 20_000_000, 64, 8
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -70,7 +72,7 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 
 def plan(
-    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, shards: int = 64, block_words: int = 50_000, seed: int = 7, key: Column | None = None
+    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, shards: int | None = None, block_words: int = 50_000, seed: int = 7, key: Column | None = None
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken, shards of every row of docs (doc_id, text, source, any more columns).
 
@@ -80,6 +82,8 @@ def plan(
     holds the output shard of each of its copies. Null and empty texts have
     size 0. Equal rows are kept apart. An empty table gives an empty result.
     key: one more column of the result, k, by which to find the rows again.
+    shards: by default one for each SHARD_WORDS words that the mix takes, LEAST_SHARDS
+    at least and MOST_BLOCKS / SHARD_BLOCKS at most, beyond which shards grow.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
@@ -101,6 +105,8 @@ def plan(
     per = sorted(((r.key, int(r.z)) for r in per), key=lambda x: (x[0] == "-", x[0]))
     sizes = [z for _, z in per]
     target = targets(sizes, [weights[k % len(weights)] for k in range(len(per))], share * sum(sizes), cap)
+    if shards is None:
+        shards = max(LEAST_SHARDS, min(MOST_BLOCKS // SHARD_BLOCKS, int(sum(target) / SHARD_WORDS) + 1))
     step = max(block_words, 2 * sum(sizes) // MOST_BLOCKS + 1)
     blocks = [max(1, z // step) for z in sizes]
     passes = [0 if not z else min(int(cap), int(t // z)) for z, t in zip(sizes, target, strict=True)]
@@ -158,18 +164,20 @@ def plan(
 def mix(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     """The mixed rows themselves: the columns of docs, shard and copy, ordered at random within each shard.
 
-    Rows are found again by a hash of doc_id, text and source. Equal rows share
-    it; they count as one row with the copies of all of them. Rows with a null
-    doc_id are mixed like others. Columns named shard or copy are replaced.
+    Rows are found again by 128 bits of hashes of doc_id, text and source. Equal
+    rows share them; they count as one row with the copies of all of them. Rows
+    with a null doc_id are mixed like others. Columns named shard or copy are
+    replaced; all others, whatever their names, stay.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     docs = docs.drop("shard", "copy")
-    key = F.xxhash64("doc_id", "text", "source", F.concat_ws("|", *(F.col(c).isNull().cast("string") for c in ("doc_id", "text", "source"))))
-    per = plan(docs, seed=seed, key=key, **options).groupBy("k").agg(F.flatten(F.collect_list("shards")).alias("shards"), F.count("*").alias("n"))
-    per = scratch.write(per, "copies")
-    rows, again = docs.withColumn("k", key), per.where("n > 1").select("k")
+    k, places = free_name(docs, "_k"), free_name(docs, "_places")
+    nulls = F.concat_ws("|", *(F.col(c).isNull().cast("string") for c in ("doc_id", "text", "source")))
+    key = F.struct(F.xxhash64("doc_id", "text", "source", nulls).alias("a"), F.xxhash64(F.lit(seed), nulls, "source", "text", "doc_id").alias("b"))
+    per = plan(docs, seed=seed, key=key, **options).groupBy("k").agg(F.flatten(F.collect_list("shards")).alias(places), F.count("*").alias("n"))
+    per = scratch.write(per.withColumnRenamed("k", k), "copies")
+    rows, again = docs.withColumn(k, key), per.where("n > 1").select(k)
     if not again.isEmpty():
-        rows = rows.join(again, "k", "left_anti").unionByName(rows.join(again, "k", "left_semi").dropDuplicates(["k"]))
-    rows = rows.join(per.where("size(shards) > 0").select("k", "shards"), "k").select("*", F.posexplode("shards").alias("copy", "shard")).drop("shards")
-    rows = rows.withColumn("_o", F.xxhash64(F.lit(seed + 1), "k", "copy"))
-    return rows.repartition("shard").sortWithinPartitions("shard", "_o").drop("_o", "k")
+        rows = rows.join(again, k, "left_anti").unionByName(rows.join(again, k, "left_semi").dropDuplicates([k]))
+    rows = rows.join(per.where(F.size(places) > 0).select(k, places), k).select("*", F.posexplode(places).alias("copy", "shard")).drop(places)
+    return rows.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed + 1), k, "copy")).drop(k)

@@ -72,3 +72,12 @@ def test_mix_and_empty(spark):
     assert sum(len((r.text or "").split()) for r in mixed) == sum(r.taken for r in planned)
     assert mix(odd.limit(0)).collect() == []
     assert [tuple(r)[:2] for r in plan(spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")).collect()] == [(1, 0)]
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(k, f"a b {k}", "s", k, [k], "x", "y") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, k long, shards array<long>, size string, _k string")
+    out = mix(df, shards=2)
+    assert set(out.columns) == {*df.columns, "copy", "shard"}
+    got = out.collect()
+    assert got and all(r.k == r.doc_id and r.shards == [r.doc_id] and (r.size, r._k) == ("x", "y") for r in got)
