@@ -1,13 +1,13 @@
 """Quality by attention-based multiple-instance learning.
 
-A document is a bag of passages: consecutive cuts of its whole text, at least
-PASSAGE bytes each and at most MOST_PASSAGES of them, so very long texts get
-longer passages. A small network encodes every passage, gated attention
+A document is a bag of passages: consecutive cuts of its whole text, of PASSAGE
+bytes or a little more each, however long it is. A small network encodes every passage, gated attention
 (Ilse et al. 2018) weighs the passages of a bag, and a logistic layer scores the
 weighted sum. All of it is learned from document labels: passages have none.
 
 Bounds: MOST_LABELLED documents of each label outside the held-out fold, in
-id-hash order; training sees passage features only (FEATURES numbers each).
+id-hash order; training sees passage features only (FEATURES numbers each), of
+at most TRAIN_PASSAGES passages of a document, evenly spaced. Scoring sees all.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reflume.llm.common import bound_batches, held_out, label_sample, tidy
-from reflume.llm.words import cuts, mix, word_hashes
+from reflume.llm.words import cuts, mix, placed_words
 
 MOST_LABELLED = 3000
 PASSAGE = 800
-MOST_PASSAGES = 256
+TRAIN_PASSAGES = 256
 
 _CLASSES = {
     "lower": range(97, 123), "upper": range(65, 91), "digit": range(48, 58), "space": (32, 9), "line": (10, 13), "stop": b".?", "comma": b",;:", "bar": b"|", "bang": b"!",
@@ -52,7 +52,7 @@ def _share_seen(owner: np.ndarray, key: np.ndarray, doc: np.ndarray, n: int) ->
 def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features (passages, FEATURES) of all rows of a cut, and the number of passages of each row (1 at least)."""
     sizes = np.diff(offsets)
-    counts = np.clip(sizes // PASSAGE, 1, MOST_PASSAGES)
+    counts = np.maximum(sizes // PASSAGE, 1)
     row = np.repeat(np.arange(len(sizes)), counts)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
     starts = offsets[row] + sizes[row] * nth // counts[row]
@@ -62,23 +62,13 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     at = np.repeat(np.arange(n), ends - starts)
     kinds = len(_CLASSES) + 1
     x[:, : len(_CLASSES)] = np.bincount(at * kinds + _OF[data], minlength=n * kinds).reshape(n, kinds)[:, :-1] / length[:, None]
-    hashes, bounds = word_hashes(data, offsets)
+    where, hashes, bounds = placed_words(data, offsets)
+    word_at = at[where]
+    words = np.bincount(word_at, minlength=n)
+    x[:, len(_CLASSES)] = words / length * 6
+    x[:, len(_CLASSES) + 1] = np.log1p(length / np.maximum(words, 1))
     if len(hashes):
-        solid = _OF[data] > 4
-        solid |= _OF[data] < 3
-        begins = solid.copy()
-        begins[1:] &= ~solid[:-1]
-        edges = offsets[(offsets > 0) & (offsets < len(data))]
-        begins[edges] = solid[edges]
-        where = np.flatnonzero(begins)
-        if len(where) == len(hashes):  # else the text holds a rare kind of space; words then go by even shares
-            word_at = at[where]
-        else:
-            word_at = at[np.minimum(np.linspace(0, len(data) - 1, len(hashes)).astype(np.int64), len(data) - 1)]
         doc = np.repeat(np.arange(len(sizes)), np.diff(bounds))
-        words = np.bincount(word_at, minlength=n)
-        x[:, len(_CLASSES)] = words / length * 6
-        x[:, len(_CLASSES) + 1] = np.log1p(length / np.maximum(words, 1))
         x[:, len(_CLASSES) + 2] = _share_seen(word_at, hashes, doc, n)
         with np.errstate(over="ignore"):
             three = hashes[:-2] + hashes[1:-1] * np.uint64(3) + hashes[2:] * np.uint64(7) if len(hashes) > 2 else hashes[:0]
@@ -154,8 +144,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
             for first, data, offsets in cuts(batch.column(1)):
                 x, counts = passages(data, offsets)
                 ends = np.cumsum(counts)
-                rows = [x[e - c : e].astype(np.float32).tobytes() for e, c in zip(ends, counts, strict=True)]
-                part = batch.slice(first, len(counts))
+                used = np.minimum(counts, TRAIN_PASSAGES)
+                rows = [x[e - c + np.arange(k) * c // k].astype(np.float32).tobytes() for e, c, k in zip(ends, counts, used, strict=True)]
+                part, counts = batch.slice(first, len(counts)), used
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(counts.astype(np.int32)), pa.array(rows, pa.binary())], ["doc_id", "y", "n", "x"])
 
     told = label_sample(docs, labels, "quality", most).mapInArrow(tidy(features), "doc_id long, y int, n int, x binary").toPandas().sort_values(["doc_id", "x"])
@@ -181,6 +172,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataF
                 x = x.astype(np.float32).astype(float)
                 p, a = model.bags(x, counts) if model else (np.full(len(counts), 0.5), np.ones(int(counts.sum())) / np.repeat(counts, counts))
                 top = np.maximum.reduceat(a, np.cumsum(counts) - counts)
+                p = p.round(12)  # sums over other numbers of rows may differ in the last bits
                 ids = batch.column(0).slice(first, len(counts))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(p), pa.array(counts.astype(np.int64)), pa.array(top)], ["doc_id", "score", "n_passages", "top_attention"])
 

@@ -96,8 +96,13 @@ class Model:
     weights: np.ndarray  # one a voter, then of log(1 + lexicon hits), then the constant
     accuracy: np.ndarray  # (2, voters): how often a voter fires on clean and on toxic texts
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "_voters"}
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        voters = Voters(self.names)
+        if not hasattr(self, "_voters"):  # once a worker's task, not once a batch
+            self._voters = Voters(self.names)
+        voters = self._voters
         out = np.empty(len(texts))
         for i, text in enumerate(texts):
             hits = voters.fired(text or "")
@@ -184,7 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, voters:
     scratch = Scratch(spark, "toxicity")
     share = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     picked = label_sample(docs, labels, "toxic", most).mapInArrow(tidy(_one_of_copies), "doc_id long, text string, y int, low long")
-    picked = scratch.write(picked.dropDuplicates(["y", "low"]).select("text", "y", "doc_id"), "sample")
+    first = picked.groupBy("y", "low").agg(F.min(F.struct("doc_id", "text")).alias("first"))
+    picked = scratch.write(first.select("first.text", "y", "first.doc_id"), "sample")
     sizes = {r.y: r["count"] for r in picked.groupBy("y").count().collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     names = [*LEXICON, *PATTERNS]

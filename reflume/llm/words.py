@@ -54,8 +54,13 @@ def _powers(n: int) -> np.ndarray:
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words in order, and for each row the range of its words (n + 1 bounds)."""
+    return placed_words(data, offsets)[1:]
+
+
+def placed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where all words begin, and what word_hashes gives."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     solid = ~_SPACE[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
@@ -64,14 +69,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts = np.flatnonzero(begins)
     bounds = np.searchsorted(starts, offsets)
     if not len(starts):
-        return np.zeros(0, np.uint64), bounds
+        return starts, np.zeros(0, np.uint64), bounds
     at = np.flatnonzero(solid)
     firsts = np.searchsorted(at, starts)
     lengths = np.diff(np.append(firsts, len(at)))
     place = np.arange(len(at)) - np.repeat(firsts, lengths)
     with np.errstate(over="ignore"):
         terms = _BYTE[_LOWER[data[at]]] * _powers(int(lengths.max()))[place]
-        return mix(np.add.reduceat(terms, firsts) + lengths.astype(np.uint64)), bounds
+        return starts, mix(np.add.reduceat(terms, firsts) + lengths.astype(np.uint64)), bounds
 
 
 def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:

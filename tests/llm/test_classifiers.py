@@ -92,4 +92,87 @@ def test_passages_cover_whole_texts():
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     offsets = np.cumsum([0, *map(len, texts)])
     x, counts = quality.passages(data, offsets)
-    assert counts.tolist() == [1, 1, 12, 256] and len(x) == counts.sum() and np.isfinite(x).all()
+    assert counts.tolist() == [1, 1, 12, 625] and len(x) == counts.sum() and np.isfinite(x).all()
+
+
+def plain_passages(text: bytes) -> list[list[float]]:
+    """The features by their definition, a passage at a time."""
+    import re
+
+    n = max(1, len(text) // quality.PASSAGE)
+    edges = [len(text) * k // n for k in range(n + 1)]
+    words = [(m.start(), bytes(c + 32 if 65 <= c <= 90 else c for c in m.group())) for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    threes = [(words[k][0], tuple(w for _, w in words[k : k + 3])) for k in range(len(words) - 2)]
+    out = []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        size = max(b - a, 1)
+        row = [sum(c in bytes(kind) for c in text[a:b]) / size for kind in quality._CLASSES.values()]
+        mine = [w for at, w in words if a <= at < b]
+        row += [len(mine) / size * 6, np.log1p(size / max(len(mine), 1))]
+        for items in (words, threes):
+            keys = [w for _, w in items]
+            here = [w for at, w in items if a <= at < b]
+            row.append(sum(keys.count(w) > 1 for w in here) / max(len(here), 1))
+        row += [np.log1p(text[a:b].count(b"\n")), np.log1p(size), np.log1p(len(text))]
+        out.append(row)
+    return out
+
+
+def plain_score(model, rows):
+    """Gated attention by its formula, a passage at a time."""
+    w = model.parts
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    h = [np.tanh(np.clip((np.float32(r).astype(float) - model.mean) / model.scale, -8, 8) @ w["w1"] + w["b1"]) for r in rows]
+    e = [np.exp((np.tanh(x @ w["v"]) * sig(x @ w["u"])) @ w["q"]) for x in h]
+    z = sum(k * x for k, x in zip(e, h, strict=True)) / sum(e)
+    return sig(np.clip(z @ w["c"] + w["d"], -30, 30))[0]
+
+
+def odd_texts():
+    rng = random.Random(8)
+    return ["", "a", "a\x0cb c d", "one\x0btwo", *(f"w{chr(c)}x y{chr(c)}" for c in range(32)), prose(rng, 900), "é " * 1500, "same line here\n" * 300, "UPPER lower 12 %%% " * 80]
+
+
+def test_quality_scores_equal_a_plain_version_alone_and_together(spark):
+    rows, labels = corpus(200, 6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    model = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    texts = [*odd_texts(), *(r[1] for r in rows[:20])]
+    together = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.score for r in quality.score(together, model).collect()}
+    for k, text in enumerate(texts):
+        data = np.frombuffer(text.encode(), np.uint8)
+        x, counts = quality.passages(data, np.array([0, len(data)]))
+        alone = model.bags(x.astype(np.float32).astype(float), counts)[0][0]
+        assert abs(got[k] - alone) < 1e-9 and abs(got[k] - plain_score(model, plain_passages(text.encode()))) < 1e-5, text[:40]
+
+
+def test_toxicity_scores_equal_a_plain_version(spark):
+    import math
+    import re
+
+    rows, labels = corpus(300, 9)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    texts = [*odd_texts(), "IDIOT idiots xidiot idiot1 idiot_", "you are such a moron!!! shut up", *(r[1] for r in rows[:60])]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, text in enumerate(texts):
+        x, hits = model.weights[-1], 0
+        for name, weight in zip(model.names, model.weights, strict=False):
+            if name[0] == "#":
+                n = int(bool(toxicity.PATTERNS[name].search(text)))
+            else:
+                end = r"(?![^\W\d_])" if name[0] == "=" else ""
+                n = len(re.findall(rf"(?<![^\W\d_])(?={re.escape(name[1:])}{end})", text.lower()))
+                hits += n
+            x += weight * (n > 0)
+        x += model.weights[-2] * math.log1p(hits)
+        assert abs(got[k] - 1 / (1 + math.exp(-max(-30, min(30, x))))) < 1e-9, text[:60]
+
+
+def test_a_label_sample_is_bounded_by_ids(spark):
+    from reflume.llm.common import label_sample
+
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (4, "c")], "doc_id long, text string")
+    known = spark.createDataFrame([(1, 1), (4, 0), (4, 1)], "doc_id long, toxic int")
+    assert {tuple(r) for r in label_sample(docs, known, "toxic", 10).collect()} <= {(1, "a", 1), (4, "c", 0)}
