@@ -35,7 +35,8 @@ _FOLLOWS = {NONE: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT
 #: Costs of a choice. Other role names, and null, are of no role: giving them one costs OTHER.
 JOIN, JOIN_EMPTY, RELABEL, OTHER, INSERT = 2, 1, 5, 3, 4
 CHUNK_ROWS, CHUNK_BYTES = 1024, 1_000_000
-_FAR = np.int64(2**40)
+#: Bits of the second cost (sums over a billion turns fit), and a cost of no way, far above what costs differ by.
+_TIE, _FAR = 40, np.int64(2**21)
 
 
 def _choices(role: int, empty: bool) -> list[tuple[int, int, int, str, tuple[int, ...]]]:
@@ -73,26 +74,31 @@ def _kind(role: str | None, text: str | None) -> tuple[int, bool]:
 
 
 def _matrix(role, text, turn) -> np.ndarray:
-    """(4, 4) costs, the second cost in the low 20 bits: one integer orders both."""
+    """(4, 4) costs, the second cost in the low bits: one integer orders both."""
     kind = _kind(role, text)
     seed = zlib.crc32(f"{turn}|{role}|{len(text or '')}|{(text or '')[:64]}".encode("utf-8", "replace"))
     tie = (np.arange(16, dtype=np.int64) * 40503 + seed % 1_000_003) * 2654435761 % 1009
-    return _COST[kind] * (1 << 20) + tie.reshape(4, 4)
+    return (_COST[kind] << _TIE) + tie.reshape(4, 4)
+
+
+def _above_least(x: np.ndarray) -> np.ndarray:
+    """Costs less the least of them, which decides nothing, so that sums stay small however many turns there are."""
+    return np.minimum(x - x.min(), _FAR << _TIE)
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a[:, :, None] + b[None, :, :]).min(1)
+    return _above_least((a[:, :, None] + b[None, :, :]).min(1))
 
 
 def _path(mats: list[np.ndarray], start: int, stop: int) -> list[int]:
     """The states of the cheapest way from start to stop, the first left out."""
-    value = np.full(4, _FAR << 20)
+    value = np.full(4, _FAR << _TIE)
     value[start] = 0
     back = []
     for m in mats:
         step = value[:, None] + m
         back.append(step.argmin(0))
-        value = step.min(0)
+        value = _above_least(step.min(0))
     states = [stop]
     for b in reversed(back):
         states.append(int(b[states[-1]]))
@@ -117,7 +123,7 @@ def _pack(most: int):
                 m = _matrix(g[0][2], g[0][3], g[0][1])
                 for r in g[1:]:
                     m = _times(m, _matrix(r[2], r[3], r[1]))
-                costs.append(np.minimum(m, _FAR << 20).ravel().tolist())
+                costs.append(np.minimum(m, _FAR << _TIE).ravel().tolist())
             cols = [[r[k] for r in held] for k in range(4)]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
             return pa.RecordBatch.from_arrays(
@@ -145,10 +151,10 @@ def _cuts(key, pdf):
 
     pdf = pdf.sort_values("chunk")
     mats = [np.array(c, np.int64).reshape(4, 4) for c in pdf["cost"]]
-    ends = np.array([_END[s][0] for s in range(4)], np.int64) << 20
+    ends = np.array([_END[s][0] for s in range(4)], np.int64) << _TIE
     total = mats[0][NONE]
     for m in mats[1:]:
-        total = (total[:, None] + m).min(0)
+        total = _above_least((total[:, None] + m).min(0))
     states = _path(mats, NONE, int((total + ends).argmin()))
     sizes = pdf["size"].to_numpy()
     return pd.DataFrame({
@@ -177,8 +183,8 @@ def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     total = mats[0][NONE]
                     for m in mats[1:]:
-                        total = (total[:, None] + m).min(0)
-                    state, leave, place, last = NONE, int((total + (np.array([_END[s][0] for s in range(4)], np.int64) << 20)).argmin()), 0, True
+                        total = _above_least((total[:, None] + m).min(0))
+                    state, leave, place, last = NONE, int((total + (np.array([_END[s][0] for s in range(4)], np.int64) << _TIE)).argmin()), 0, True
                 for row, to in zip(rows, _path(mats, state, leave), strict=True):
                     turn, role, text = row
                     _, _, cost, action, put = next(c for c in _TABLE[_kind(role, text)] if c[0] == state and c[1] == to)
@@ -203,7 +209,7 @@ def format_chats(turns: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
 
     A row for each input turn and one `end` row a conversation; `rendered` in the
     order of place is the whole conversation as text. Turns come in the order of
-    turn (null last), then role and text; equal rows are turns of their own.
+    turn (null last), then role and a hash of the text; equal rows are turns of their own.
     Roles are compared in lower case without outer spaces; others, and null,
     count as no role. Null texts are empty. Rows without a conv_id are one
     conversation. An empty table gives an empty result.
@@ -216,8 +222,9 @@ def format_chats(turns: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
         F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("nth"),
     )
-    order = ["conv_id", F.asc_nulls_last("turn"), "role", "h", "nth"]
-    chunks = rows.repartitionByRange(n, *order).sortWithinPartitions("conv_id", F.asc_nulls_last("turn"), "role", "text", "nth").drop("h", "nth").mapInArrow(tidy(_pack(chunk_rows)), _CHUNK)
+    order = ["conv_id", F.asc_nulls_last("turn"), "role", "h", "nth"]  # of the cuts and within them
+    chunks = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("h", "nth")
+    chunks = chunks.mapInArrow(tidy(_pack(chunk_rows)), _CHUNK)
     chunks = scratch.write(chunks, "chunks")
     parts = chunks.select("chunk", F.explode(F.arrays_zip(F.col("part_conv").alias("conv"), F.col("part_size").alias("size"), F.col("part_cost").alias("cost"))).alias("p")).select("chunk", "p.*")
     crossing = parts.groupBy("conv").count().where("count > 1").select(F.col("conv").alias("c"))
