@@ -31,17 +31,18 @@ from reflume.llm.common import Scratch, bound_batches, connected_components, tid
 
 @lru_cache(maxsize=8)
 def _planes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, dim]).standard_normal((dim, tables * bits))
+    return np.rint(np.random.default_rng([seed, dim]).standard_normal((dim, tables * bits)) * 2**10)
 
 
 def _unit(values: np.ndarray, dim: int) -> np.ndarray:
-    rows = values.reshape(-1, dim)
+    rows = values.astype(np.float64, copy=False).reshape(-1, dim)
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
 
 
 def _signatures(unit: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
-    signs = unit @ _planes(unit.shape[1], tables, bits, seed) >= 0
+    # whole numbers whose sums stay below 2 ** 53: no sign depends on the order of adding
+    signs = np.rint(unit * 2**20) @ _planes(unit.shape[1], tables, bits, seed) >= 0
     return signs.reshape(len(unit), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
 
 
@@ -153,7 +154,8 @@ def cosine_components(
     bound_batches(spark)
     scratch = Scratch(spark, "cosine")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("emb"))
+    part = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"  # as they travel; all sums are in doubles
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(f"array<{part}>").alias("emb"))
     good = (
         F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.size("emb") > 0, F.lit(False))
         & F.coalesce(F.forall("emb", finite), F.lit(False)) & F.coalesce(F.exists("emb", lambda x: x != 0), F.lit(False))
@@ -173,7 +175,7 @@ def cosine_components(
         "crowded",
     )
     spread = (
-        vecs.mapInArrow(tidy(_sign(tables, bits, seed, True)), "t int, label long, dim int, sig long, rep long, m long, emb array<double>")
+        vecs.mapInArrow(tidy(_sign(tables, bits, seed, True)), f"t int, label long, dim int, sig long, rep long, m long, emb array<{part}>")
         .join(crowded, key, "left")
         .withColumn("tiles", F.coalesce("tiles", F.lit(1)))
         .withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
