@@ -108,18 +108,23 @@ def read_token_files(spark: SparkSession, path: str, width: int = 2, block_token
 def write_tokens(docs: DataFrame, ranks: str, pattern: str, eod: int, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Token files of docs (doc_id, text) in blocks: file, block, payload; rows with a null payload list the file's doc_ids in order.
 
-    A file is what one task reads. ranks is a byte-level BPE vocabulary; null
-    and empty texts are a separator alone.
+    A file is what one task reads. ranks is a byte-level BPE vocabulary, read by
+    the driver; ids that the width cannot hold are an error. Null and empty
+    texts are a separator alone.
     """
     bound_batches(docs.sparkSession)
+    with open(ranks, "rb") as f:
+        lines = [line.split() for line in f]
+    if max([eod, *(int(b) for _, b in lines)]) >= 1 << 8 * width:
+        raise ValueError(f"ids of the vocabulary do not fit into {width} bytes")
+    sent = docs.sparkSession.sparkContext.broadcast(lines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import base64
 
         import tiktoken
 
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        table = {base64.b64decode(a): int(b) for a, b in sent.value}
         coder = tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         file = TaskContext.get().partitionId()
         held: list[np.ndarray] = []
