@@ -30,7 +30,7 @@ def targets(entries: DataFrame) -> DataFrame:
     """What matching needs of entries: doc_id, entry_index and a struct e."""
     first = F.get("authors", F.lit(0))
     token = lambda c: F.get(F.split(c, " "), F.lit(0))
-    others = F.transform(F.slice(F.coalesce("authors", F.array()), 2, 10_000), lambda a: F.struct(token(a["exact"]).alias("exact"), token(a["bare"]).alias("bare")))
+    others = F.transform(F.slice("authors", F.lit(2), F.greatest(F.size("authors") - 1, F.lit(0))), lambda a: F.struct(token(a["exact"]).alias("exact"), token(a["bare"]).alias("bare")))
     authors = F.when(F.size("authors") > 0, F.col("authors"))
     return entries.withColumn("authors", authors).select(
         "doc_id", "entry_index",
@@ -145,5 +145,5 @@ def numeric_tokens(citations: DataFrame, entries: DataFrame) -> DataFrame:
     status = F.when(F.col("index") < 1, "unmatched").when(F.col("index") > F.col("n"), "out-of-range").otherwise("resolved")
     return rows.select(
         "doc_id", "ord", "citation_id", "block_id", "block_ord", "paragraph_index", F.struct("t", "k").alias("tok_ord"), "index", status.alias("status"),
-        F.when(status == "resolved", F.col("index") - 1).alias("entry_index"), F.col("token.start").alias("start"), F.col("token.end").alias("end"), "n",
+        F.when(status == "resolved", (F.col("index") - 1).cast("int")).alias("entry_index"), F.col("token.start").alias("start"), F.col("token.end").alias("end"), "n",
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +50,7 @@ class Context:
     matches: DataFrame | None
     status: DataFrame | None
     tokens: DataFrame | None
+    held: list[DataFrame] = field(default_factory=list)  # kept in memory or on disk until they are released
 
 
 def _issues(df: DataFrame, rule: str, severity: str, message: Column, evidence: Column, order: Sequence[str]) -> DataFrame:

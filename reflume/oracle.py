@@ -6,6 +6,8 @@ were made of, never by reading their text.
 
 from __future__ import annotations
 
+from reflume.functions.text import ENTITIES
+
 #: Keys of all manuscripts: citations (cit), entries (ent), a citation's items (item) and the scores of all pairs (pair).
 _FAM = "concat(chr(CAST(65 + {k} % 26 AS INT)), 'z', translate(CAST({k} AS VARCHAR), '0123456789', 'abcdefghij'))"
 _YEAR = "CAST(1950 + ({k} * 11) % 70 AS INT)"
@@ -84,9 +86,22 @@ issues AS (
 )
 """
 _KEYS = _KEYS.replace(" OR page = '47' AND false", "")
-_LINE = "(SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS line FROM documents)"
+_TEXT = "(SELECT doc_id, coalesce(text, '') AS line FROM documents)"
 _WS = r"[\x09-\x0d \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 _EXACT = rf"trim(regexp_replace(regexp_replace(lower(line), '\p{{P}}+', '', 'g'), '{_WS}', ' ', 'g'))"
+_REFERENCE = f"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|{'|'.join(ENTITIES)});"
+_NAMED = ", ".join(f"'{name}': chr({ord(char)})" for name, char in ENTITIES.items())
+_ENTITY_SQL = f"""
+WITH cut AS (
+  SELECT page_id, string_split_regex(coalesce(html, ''), '{_REFERENCE}') AS gaps, regexp_extract_all(coalesce(html, ''), '{_REFERENCE}') AS found FROM pages
+), read AS (
+  SELECT page_id, gaps, list_transform(found, lambda e: struct_pack(whole := e, named := MAP {{{_NAMED}}}[e[2:-2]], code := CASE
+    WHEN e[2] <> '#' THEN NULL WHEN lower(e[3]) = 'x' THEN TRY_CAST(concat('0x', e[4:-2]) AS BIGINT) ELSE TRY_CAST(e[3:-2] AS BIGINT) END)) AS found FROM cut
+), told AS (
+  SELECT page_id, gaps, list_transform(found, lambda x: coalesce(x.named, CASE WHEN x.code <= 1114111 AND NOT x.code BETWEEN 55296 AND 57343 THEN chr(CAST(x.code AS INTEGER)) END, x.whole)) AS found FROM read
+)
+SELECT page_id, md5(array_to_string(list_transform(range(1, len(gaps) + 1), lambda k: concat(gaps[k], found[k])), '')) AS decoded FROM told
+"""
 _DOC = "CAST(o AS VARCHAR) AS doc_id"
 _TAG = r"""(SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '<((?:"[^"]*"|''[^'']*''|[^>"''])*)>', 1)) AS inner_ FROM pages)"""
 
@@ -105,14 +120,14 @@ def _count(rule: str) -> str:
 
 SQL: dict[str, str] = {
     "fold_text": rf"SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '{_WS}', ' ', 'g'))) AS folded FROM documents",
-    "name_exact_key": f"SELECT doc_id, {_EXACT} AS k FROM {_LINE}",
-    "strip_diacritics": f"SELECT doc_id, strip_accents(line) AS k FROM {_LINE}",
-    "initials_key": f"SELECT doc_id, array_to_string(list_transform(list_filter(string_split(strip_accents({_EXACT}), ' '), lambda w: w <> ''), lambda w: w[1]), '') AS k FROM {_LINE}",
-    "label_truncate": f"SELECT doc_id, CASE WHEN length(line) <= 72 THEN line ELSE concat(line[1:69], '...') END AS k FROM {_LINE}",
+    "name_exact_key": f"SELECT doc_id, {_EXACT} AS k FROM {_TEXT}",
+    "strip_diacritics": f"SELECT doc_id, strip_accents(line) AS k FROM {_TEXT}",
+    "initials_key": f"SELECT doc_id, array_to_string(list_transform(list_filter(string_split(strip_accents({_EXACT}), ' '), lambda w: w <> ''), lambda w: w[1]), '') AS k FROM {_TEXT}",
+    "label_truncate": f"SELECT doc_id, CASE WHEN length(line) <= 72 THEN line ELSE concat(line[1:69], '...') END AS k FROM {_TEXT}",
     "vn_family": "SELECT c_custkey, c_custkey % 4 IN (0, 2) AS vietnamese FROM customer",
     "tag_names": rf"SELECT page_id, regexp_extract(regexp_replace(inner_, '^/', ''), '^([^ \t\n\r/]*)', 1) AS name, count(*) AS n FROM {_TAG} GROUP BY ALL",
     "attr_values": rf"""SELECT page_id, regexp_extract(inner_, '(?:^|\s)href="([^"]*)"', 1) AS href, count(*) AS n FROM {_TAG} WHERE regexp_matches(inner_, '(?:^|\s)href="([^"]*)"') GROUP BY ALL""",
-    "entity_decode": "SELECT page_id, md5(replace(replace(replace(replace(replace(replace(coalesce(html, ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&#39;', ''''), '&amp;', '&')) AS decoded FROM pages",
+    "entity_decode": _ENTITY_SQL,
     "escape_html": "SELECT page_id, md5(replace(replace(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS escaped FROM pages",
     "local_names": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN concat(p_brand, ':x:', p_type) ELSE concat(p_brand, p_type) END AS local FROM part",
     "interpolated": "SELECT o_orderkey, concat(o_orderstatus, ': ', o_custkey, ' of {unknown}') AS message, 'file,n,unknown' AS names FROM orders",

@@ -27,7 +27,13 @@ def analyse(blocks: DataFrame, options: Options = Options(), keep: bool = True)
     keep: hold the tables that several rules read (memory first, then disk), so
     that texts are read and matched once; release() lets go of them.
     """
-    hold = (lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)) if keep else (lambda df: df)
+    held: list[DataFrame] = []
+
+    def hold(df: DataFrame) -> DataFrame:
+        if keep:
+            held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
     blocks = hold(blocks.repartition("doc_id"))
     documents, section = bibliography.bibliography(blocks, options.bibliography_blocks)
     documents = hold(documents)
@@ -35,15 +41,14 @@ def analyse(blocks: DataFrame, options: Options = Options(), keep: bool = True)
     extracted = hold(citations.extract(blocks))
     cited = hold(citations.numbered(extracted))
     matches = hold(matching.combine(cited, matching.match_items(cited, entries, options.weights)))
-    return rules.Context(
-        blocks, documents, cited, extracted.where("kind = 'invalid'"), entries, matches, matching.entry_status(entries, matches), matching.numeric_tokens(cited, entries)
-    )
+    status, tokens = matching.entry_status(entries, matches), matching.numeric_tokens(cited, entries)
+    return rules.Context(blocks, documents, cited, extracted.where("kind = 'invalid'"), entries, matches, status, tokens, held)
 
 
 def release(ctx: rules.Context) -> None:
-    for df in vars(ctx).values():
-        if df is not None:
-            df.unpersist()
+    """Lets go of the tables that analyse() holds, those made from others first."""
+    while ctx.held:
+        ctx.held.pop().unpersist(blocking=True)
 
 
 def lint(blocks: DataFrame, options: Options = Options()) -> DataFrame:

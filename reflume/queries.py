@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,15 +25,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_held: list[rules.Context] = []
+def _let_go(ctx: rules.Context) -> None:
+    if SparkSession.getActiveSession() is not None:
+        lint.release(ctx)
 
 
-def _context(spark: SparkSession, sf_dir: str) -> rules.Context:
-    """The analysis of all manuscripts; the one before it is let go of."""
-    while _held:
-        lint.release(_held.pop())
-    _held.append(lint.analyse(manuscripts(spark, sf_dir)))
-    return _held[0]
+def _analysed(query: Callable[[rules.Context], DataFrame]) -> Query:
+    """A query over the analysis of all manuscripts, which is held for as long as the query's result is."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ctx = lint.analyse(manuscripts(spark, sf_dir))
+        out = query(ctx)
+        weakref.finalize(out, _let_go, ctx).atexit = False
+        return out
+
+    return functools.wraps(query)(run)
 
 
 def _issues(ctx: rules.Context, **options) -> DataFrame:
@@ -126,76 +134,82 @@ def reference_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "entry_index", first["family"].alias("family"), first["initials"].alias("initials"), "year", "title", "container_title", "volume", "issue", "pages", "failure", F.round("parse_confidence", 4).alias("parse_confidence"))
 
 
-def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ctx = _context(spark, sf_dir)
+@_analysed
+def pair_scores(ctx: rules.Context) -> DataFrame:
     rows = matching.pair_scores(ctx.citations, ctx.entries)
     return rows.groupBy("doc_id", "entry_index").agg(F.count("*").alias("pairs"), F.round(F.sum("score"), 4).alias("score"), F.count_if(F.col("tier") == 1).alias("exact"), F.count_if(F.col("tier") == 4).alias("initials"))
 
 
-def match_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ctx = _context(spark, sf_dir)
+@_analysed
+def match_relationships(ctx: rules.Context) -> DataFrame:
     rows = ctx.citations.where("family = 'author-date'").select("doc_id", "ord").join(ctx.matches, ["doc_id", "ord"])
     return rows.groupBy("doc_id", "relationship").agg(F.count("*").alias("n"))
 
 
-def entry_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _context(spark, sf_dir).status
+@_analysed
+def entry_status(ctx: rules.Context) -> DataFrame:
+    return ctx.status
 
 
-def numeric_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _context(spark, sf_dir).tokens.groupBy("doc_id", "index", "status", "entry_index").agg(F.count("*").alias("n"))
+@_analysed
+def numeric_binding(ctx: rules.Context) -> DataFrame:
+    return ctx.tokens.groupBy("doc_id", F.col("index").cast("int").alias("index"), "status", "entry_index").agg(F.count("*").alias("n"))
 
 
-def missing_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_analysed
+def missing_references(ctx: rules.Context) -> DataFrame:
     """Citations without an entry, by document: the flagship."""
-    return rules.cs001(_context(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return rules.cs001(ctx).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 def _rule(name: str) -> Query:
-    return lambda spark, sf: rules.RULES[name](_context(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return _analysed(lambda ctx: rules.RULES[name](ctx).groupBy("doc_id").agg(F.count("*").alias("n")))
 
 
-def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ctx = _context(spark, sf_dir)
+@_analysed
+def severity_counts(ctx: rules.Context) -> DataFrame:
     return lint.severity_counts(ctx.documents, rules.run_rules(ctx))
 
 
-def issues_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _issues(_context(spark, sf_dir), overrides={"CS007": "info", "CS001": "nonsense"})
+@_analysed
+def issues_sorted(ctx: rules.Context) -> DataFrame:
+    rows = _issues(ctx, overrides={"CS007": "info", "CS001": "nonsense"})
     return rows.select("doc_id", "position", "issue_id", "rule_id", "severity", "message", "block_id", "start", "end")
 
 
-def report_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ctx = _context(spark, sf_dir)
+@_analysed
+def report_meta(ctx: rules.Context) -> DataFrame:
     return report.report_rows(ctx, _issues(ctx)).select("doc_id", "citations", "references", "error", "warning", "ambiguous", "info")
 
 
-def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ctx = _context(spark, sf_dir)
+@_analysed
+def report_json(ctx: rules.Context) -> DataFrame:
     return report.report_json(report.report_rows(ctx, _issues(ctx)))
 
 
-def custom_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_analysed
+def custom_rule(ctx: rules.Context) -> DataFrame:
     """A rule of one's own: paragraphs that cite nothing before the bibliography."""
     quiet = rules.Rule("X001", "INFO", lambda ctx: ctx.blocks.where("text = 'Background of the question.'").select("doc_id", "block_id", F.lit("No citation here.").alias("message")))
-    rows = _issues(_context(spark, sf_dir), enabled=[], custom=[quiet])
+    rows = _issues(ctx, enabled=[], custom=[quiet])
     return rows.groupBy("doc_id", "rule_id", "severity").agg(F.count("*").alias("n"))
 
 
-def possible_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ctx = _context(spark, sf_dir)
+@_analysed
+def possible_references(ctx: rules.Context) -> DataFrame:
     rows = explore.possible_references(ctx, rules.run_rules(ctx))
     return rows.select("doc_id", "issue_id", F.array_join(F.col("entry_indexes").cast("array<string>"), ",").alias("entries"))
 
 
-def issues_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = explore.issues_by_severity(_issues(_context(spark, sf_dir)))
+@_analysed
+def issues_by_severity(ctx: rules.Context) -> DataFrame:
+    rows = explore.issues_by_severity(_issues(ctx))
     return rows.select("doc_id", "severity", "rank", F.size("issue_ids").alias("n"))
 
 
-def resolution_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_analysed
+def resolution_overlay(ctx: rules.Context) -> DataFrame:
     """Every ambiguous citation decided for its last candidate, some for an entry that is none."""
-    ctx = _context(spark, sf_dir)
     last = F.element_at("candidates", -1)
     picked = explore.resolution_candidates(ctx).select(F.col("doc_id").alias("file"), "citation_id", F.when(F.crc32(F.col("citation_id").cast("binary")) % 3 == 0, 10_000).otherwise(last).alias("choice"))
     return explore.apply_resolutions(ctx, rules.run_rules(ctx), picked)[0]
@@ -337,22 +351,24 @@ def biblio_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.join(n, "doc_id", "left").select("doc_id", "outcome", "confidence", F.coalesce("blocks", F.lit(0)).alias("blocks"))
 
 
-def reference_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explore.reference_labels(_context(spark, sf_dir).entries)
+@_analysed
+def reference_labels(ctx: rules.Context) -> DataFrame:
+    return explore.reference_labels(ctx.entries)
 
 
-def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ctx = _context(spark, sf_dir)
+@_analysed
+def highlights(ctx: rules.Context) -> DataFrame:
     return explore.highlights(ctx, rules.run_rules(ctx, enabled=["numeric"]).where("rule_id = 'CS007'"))
 
 
-def severity_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ctx = _context(spark, sf_dir)
+@_analysed
+def severity_override(ctx: rules.Context) -> DataFrame:
     return lint.severity_counts(ctx.documents, rules.run_rules(ctx, overrides={"CS004": "info", "CS001": "Warning", "CS006": "loud"}))
 
 
-def resolution_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = explore.resolution_candidates(_context(spark, sf_dir))
+@_analysed
+def resolution_candidates(ctx: rules.Context) -> DataFrame:
+    rows = explore.resolution_candidates(ctx)
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.size("candidates")).alias("most"))
 
 

@@ -1,9 +1,9 @@
 """Row types of the engine's tables, as DDL."""
 
 SOURCE = "struct<block_id: string, paragraph_index: int, start_offset: int, end_offset: int>"
-ITEM = "struct<first_author: string, authors: array<string>, year: int, year_suffix: string, page: string, numbers: array<int>>"
+ITEM = "struct<first_author: string, authors: array<string>, year: int, year_suffix: string, page: string, numbers: array<long>>"
 KEYS = "struct<exact: string, bare: string, initials: string, given: string, others: array<struct<exact: string, bare: string>>>"
-TOKEN = "struct<first: int, last: int, start: int, end: int>"
+TOKEN = "struct<first: long, last: long, start: int, end: int>"
 PERSON = "struct<original: string, family: string, given: string, exact: string, bare: string, initials: string>"
 
 BLOCKS = "doc_id string, block_ord int, block_id string, type string, text string, style string, paragraph_index int, fields array<string>"

@@ -136,3 +136,17 @@ def test_metrics(spark):
     assert tuple(metrics.precision_recall(metrics.multiset_overlap(a.limit(0), b.limit(0), ["k"])).first()) == (1.0, 1.0, 0)
     t = metrics.timing(spark.range(1, 9).selectExpr("'g' as g", "double(id) as v"), ["g"], "v").first()
     assert (t.median, t.p95) == (4.5, 8.0)
+
+
+def test_long_numbers_are_out_of_range(spark):
+    ctx = lint.analyse(blocks(spark, {"d": ["[20240101123456]", "[" + "9" * 5000 + "]", "x", H, ENTRY.format("Doe", "J.", 2017)]}), keep=False)
+    assert sorted((r["index"], r.status) for r in ctx.tokens.collect()) == [(20240101123456, "out-of-range"), (10**18, "out-of-range")]
+
+
+def test_release_lets_go_of_all_tables(spark):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    ctx = lint.analyse(blocks(spark, DOCS))
+    rules.run_rules(ctx).collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() > before
+    lint.release(ctx)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before and not ctx.held
