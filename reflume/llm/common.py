@@ -101,12 +101,13 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def label_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+def label_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, others: int = 0) -> DataFrame:
     """At most `most` labelled documents of each label outside the held-out fold, in id-hash order.
 
     Returns doc_id, text, y. The ids and labels are bounded by `most`, which
     allows the broadcast; of several labels of one id the smallest counts, and
-    of several texts the least.
+    of several texts the least. others: at most so many documents without a
+    label as well, outside that fold too, with y = -1.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out())
@@ -114,6 +115,11 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> D
     )
     one = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     picked = one(0).unionByName(one(1))
+    if others:
+        first = [F.xxhash64("doc_id"), "doc_id"]
+        near = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(*first).limit(2 * others)
+        free = near.distinct().join(labels.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_anti").orderBy(*first).limit(others)
+        picked = picked.unionByName(free.withColumn("y", F.lit(-1)))
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
 

@@ -5,11 +5,13 @@ given and part mined from the labelled sample, and a few patterns. A generative
 label model (a mixture over the hidden label, fitted by EM) estimates how often
 each voter fires on toxic and on clean texts, and how voters are correlated
 given the label; correlated voters share one voice. The annotators' label is one
-more, imperfect voter of that model. Its posterior trains a linear classifier
-that sees the texts' votes only, never labels, lang, source or doc_id.
+more, imperfect voter of that model, silent on documents that have none: those
+count too, half as much as the labelled ones together. Its posterior on the
+labelled documents trains a linear classifier that sees the texts' votes only,
+never labels, lang, source or doc_id.
 
-Bounds: MOST_LABELLED documents of each label outside the held-out fold, in
-id-hash order, and MOST_VOTERS mined voters. Near copies count once when voters
+Bounds: MOST_LABELLED documents of each label, and as many without a label, all
+outside the held-out fold, in id-hash order, and MOST_VOTERS mined voters. Near copies count once when voters
 are mined (one document for each smallest 3-word shingle), so that the words of
 a text copied a thousand times do not look like evidence.
 """
@@ -115,10 +117,14 @@ class Model:
 def label_model(votes: np.ndarray, gold: np.ndarray, weight: np.ndarray, share: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of the hidden label, and firing rates (2, voters).
 
-    votes (n, m) 0/1, gold (n) the annotators' 0/1. The first guess is the
-    annotators'; after that their vote has estimated error rates like any other.
+    votes (n, m) 0/1, gold (n) the annotators' 0/1, or -1 where they are silent.
+    The first guess is the annotators'; after that their vote has estimated
+    error rates like any other, and documents without it count.
     """
-    all_votes = np.hstack([votes, gold[:, None]]).astype(float)
+    told = gold >= 0
+    all_votes = np.hstack([votes, (gold == 1)[:, None]]).astype(float)
+    voiced = np.ones(all_votes.shape)
+    voiced[:, -1] = told
     post = np.where(gold == 1, 0.9, share * 0.1)
     tied = np.zeros((all_votes.shape[1],) * 2)
     for y in (0, 1):
@@ -131,13 +137,14 @@ def label_model(votes: np.ndarray, gold: np.ndarray, weight: np.ndarray, share:
     np.fill_diagonal(tied, 1.0)
     alone = 1 / np.where(tied > 0.3, np.minimum(tied, 1.0), 0).sum(1)  # voters that always fire together count as one
     rates = np.zeros((2, all_votes.shape[1]))
-    for _ in range(rounds):
+    for k in range(rounds):
+        counted = weight * told if k == 0 else weight
         for y in (0, 1):
-            w = weight * (post if y else 1 - post)
-            rates[y] = (w @ all_votes + (0.2 if y else 0.02)) / (w.sum() + 0.5)
+            w = counted * (post if y else 1 - post)
+            rates[y] = (w @ all_votes + (0.2 if y else 0.02)) / (w @ voiced + 0.5)
         fire = np.log(rates[1]) - np.log(rates[0])
         still = np.log1p(-np.clip(rates[1], 0, 0.999)) - np.log1p(-np.clip(rates[0], 0, 0.999))
-        z = math.log(share / (1 - share)) + all_votes @ (alone * fire) + (1 - all_votes) @ (alone * still)
+        z = math.log(share / (1 - share)) + all_votes @ (alone * fire) + (voiced - all_votes) @ (alone * still)
         post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     return post, rates[:, :-1]
 
@@ -188,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, voters:
     bound_batches(spark)
     scratch = Scratch(spark, "toxicity")
     share = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    picked = label_sample(docs, labels, "toxic", most).mapInArrow(tidy(_one_of_copies), "doc_id long, text string, y int, low long")
+    picked = label_sample(docs, labels, "toxic", most, others=most).mapInArrow(tidy(_one_of_copies), "doc_id long, text string, y int, low long")
     first = picked.groupBy("y", "low").agg(F.min(F.struct("doc_id", "text")).alias("first"))
     picked = scratch.write(first.select("first.text", "y", "first.doc_id"), "sample")
     sizes = {r.y: r["count"] for r in picked.groupBy("y").count().collect()}
@@ -196,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, voters:
     names = [*LEXICON, *PATTERNS]
     if toxic and clean:
         base = toxic / (toxic + clean)
-        counted = picked.select("text", "y").mapInArrow(tidy(_count_terms), "term string, toxic int, clean int").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+        counted = picked.where("y >= 0").select("text", "y").mapInArrow(tidy(_count_terms), "term string, toxic int, clean int").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
         rate = (F.col("t") + 0.0) / (F.col("t") + F.col("c"))
         # the gain in log-likelihood over the base rate; what chance would give the best of a million terms is left out
         gain = F.col("t") * F.log(rate / base) + F.when(F.col("c") > 0, F.col("c") * F.log((1 - rate) / (1 - base))).otherwise(0.0)
@@ -212,16 +219,18 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, voters:
             hits = [finder.fired(t or "") for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([list(h) for h in hits], pa.list_(pa.int32())), pa.array([sum(n for k, n in h.items() if names[k][0] != "#") for h in hits], pa.int32()), batch.column(2)], ["y", "who", "n", "doc_id"])
 
-    told = picked.mapInArrow(tidy(votes), "y int, who array<int>, n int, doc_id long").toPandas().sort_values("doc_id")  # at most 2 * most rows
+    told = picked.mapInArrow(tidy(votes), "y int, who array<int>, n int, doc_id long").toPandas().sort_values("doc_id")  # at most 3 * most rows
     matrix = np.zeros((len(told), len(names)), np.float64)
     for i, who in enumerate(told["who"]):
         matrix[i, who] = 1
     gold = told["y"].to_numpy()
     share = min(max(share, 1e-3), 1 - 1e-3)
-    weight = np.where(gold == 1, share * len(gold) / max(gold.sum(), 1), (1 - share) * len(gold) / max((1 - gold).sum(), 1))
+    ones, zeros, rest = ((gold == y).sum() for y in (1, 0, -1))
+    # the labelled in the shares that labels have, the others half as much in all
+    weight = np.select([gold == 1, gold == 0], [share / max(ones, 1), (1 - share) / max(zeros, 1)], 0.5 / max(rest, 1)) * (ones + zeros)
     post, rates = label_model(matrix, gold, weight, share)
     x = np.hstack([matrix, np.log1p(told["n"].to_numpy(float))[:, None], np.ones((len(told), 1))])
-    return Model(names, fit_linear(x, post, weight), rates)
+    return Model(names, fit_linear(x, post, weight * (gold >= 0)), rates)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
