@@ -11,12 +11,14 @@ bits over the whole overlap. Catalogue items are printed at every phase of the
 hop, so where a recording holds a copy the prints of one phase are equal.
 
 The catalogue travels to every task; CATALOGUE_PRINTS bounds it. A larger one is
-taken in slices of different items, each within the bound (an item longer than it
-is a slice by itself), and the best of all slices counts.
+taken in slices of different items, one after the other, each within the bound
+(an item longer than it is a slice by itself); the recordings are numbered and
+written before, each slice's answers after it, and the best of all slices counts.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reflume.llm.common import bound_batches, tidy
+from reflume.llm.common import Scratch, bound_batches, tidy
 from reflume.llm.words import cuts
 
 CATALOGUE_PRINTS = 2_000_000
@@ -47,6 +49,7 @@ class Settings:
     least_votes: int = 3
     most_error: float = 0.15
     sure_overlap: int = 16  # prints; a shorter overlap is accepted of shorter items alone, with fewer errors
+    points: int = 0  # of the transform, zeros after the frame; 0: as many as the frame has
 
     levels: tuple[tuple[float, float, float], ...] = ((-0.1, 0.0, 0.1),) * 16  # of each filter: where its two bits change
 
@@ -55,6 +58,10 @@ class Settings:
         """Frames under one print: the widest filter and one more at either side for smoothing."""
         return self.width + 2
 
+    @property
+    def transform(self) -> int:
+        return max(self.points, self.frame)
+
     @property
     def least(self) -> int:
         """Samples under one print."""
@@ -63,7 +70,8 @@ class Settings:
 
 #: For unsigned 8-bit samples of short clips, such as the tables' texts read as samples.
 #: A print takes 60 bytes, so a text of 63 bytes has one at every phase and one of 71 bytes has three.
-SHORT = Settings(rate=8000, frame=32, hop=4, width=6, sure_overlap=64)
+#: 64 points give bins in all twelve pitch classes, where 32 leave four of them empty.
+SHORT = Settings(rate=8000, frame=32, hop=4, width=6, sure_overlap=64, points=64)
 
 
 def filters(width: int) -> list[tuple[int, int, int, int]]:
@@ -77,7 +85,7 @@ def filters(width: int) -> list[tuple[int, int, int, int]]:
 
 def _pitch_map(settings: Settings) -> np.ndarray:
     """(bins, 12): which pitch class the energy of each frequency bin belongs to; none below 28 Hz."""
-    hertz = np.arange(settings.frame // 2 + 1) * settings.rate / settings.frame
+    hertz = np.arange(settings.transform // 2 + 1) * settings.rate / settings.transform
     out = np.zeros((len(hertz), 12), np.float32)
     ok = np.flatnonzero(hertz >= 28)
     out[ok, np.round(12 * np.log2(hertz[ok] / 440)).astype(int) % 12] = 1
@@ -101,9 +109,9 @@ def prints(samples: np.ndarray, offsets: np.ndarray, settings: Settings, raw: li
     window, pitch = np.hanning(s.frame).astype(np.float32), _pitch_map(s)
     views = np.lib.stride_tricks.sliding_window_view(wave, s.frame)
     chroma = np.empty((total, 12), np.float32)
-    step = max(1, 2_000_000 // s.frame)
+    step = max(1, 2_000_000 // s.transform)
     for at in range(0, total, step):
-        spectrum = np.fft.rfft(views[start[at : at + step]] * window)
+        spectrum = np.fft.rfft(views[start[at : at + step]] * window, s.transform)
         chroma[at : at + step] = (spectrum.real**2 + spectrum.imag**2) @ pitch
     chroma /= chroma.sum(1, keepdims=True) + 1e-9
     smooth = (chroma[:-2] + 2 * chroma[1:-1] + chroma[2:]) / 4
@@ -330,16 +338,16 @@ def align(recordings: DataFrame, catalogue: DataFrame, settings: Settings = SHOR
     rows = recordings.select(F.col("doc_id").cast("long"), "text")
     items = catalogue.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("pcm"))
     settings = calibrate(items, settings)
-    parts = []
     # every sample begins one print at most, over all phases; shorter items have none
     whole = items.where(F.octet_length("pcm") >= settings.least).groupBy("item_id", "pcm").agg(F.count("*").alias("n"))
-    for part in _slices(whole, CATALOGUE_PRINTS):
-        parts.append(_with(rows, Catalogue.of([(r.item_id, bytes(r.pcm), r.n) for r in part.collect()], settings)))
-    if len(parts) == 1:
-        return parts[0]
-    number = F.monotonically_increasing_id()  # the same scan gives every slice the same numbers
-    whole = parts[0].withColumn("_row", number)
-    for p in parts[1:]:
-        whole = whole.unionByName(p.withColumn("_row", number))
+    slices = _slices(whole, CATALOGUE_PRINTS)
+    found = lambda df, part: _with(df, Catalogue.of([(r.item_id, bytes(r.pcm), r.n) for r in part.collect()], settings))
+    if len(slices) == 1:
+        return found(rows, slices[0])
+    scratch = Scratch(recordings.sparkSession, "chroma")
+    numbered = scratch.write(rows.withColumn("row", F.monotonically_increasing_id()), "recordings")
+    told = [scratch.write(found(numbered.select("row", "text"), part), "slice").withColumnRenamed("doc_id", "row") for part in slices]
+    both = functools.reduce(DataFrame.unionByName, told)
     best = F.struct("votes", (-F.col("item_id")).alias("less"), (-F.col("bit_error")).alias("right"), (-F.col("item_at")).alias("early"), "item_id", "item_at", "bit_error")
-    return whole.groupBy("_row", "doc_id", "n_prints", "prints_md5").agg(F.sum("n_items").alias("n_items"), F.max(F.when(F.col("votes").isNotNull(), best)).alias("b")).select("doc_id", "n_prints", "prints_md5", "n_items", "b.item_id", "b.votes", "b.item_at", "b.bit_error")
+    best = both.groupBy("row", "n_prints", "prints_md5").agg(F.sum("n_items").alias("n_items"), F.max(F.when(F.col("votes").isNotNull(), best)).alias("b"))
+    return best.join(numbered.select("row", "doc_id"), "row").select("doc_id", "n_prints", "prints_md5", "n_items", "b.item_id", "b.votes", "b.item_at", "b.bit_error")
