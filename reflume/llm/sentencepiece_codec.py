@@ -46,9 +46,9 @@ _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _NEVER = np.int64(2**62)
 #: Characters of words that advance together.
-CELLS = 400_000
+CELLS = 160_000
 #: Words whose pieces a worker remembers, and their characters.
-KNOWN_WORDS, KNOWN_CHARS = 300_000, 8_000_000
+KNOWN_WORDS, KNOWN_CHARS = 300_000, 4_000_000
 #: A longer word is searched in blocks, each with so many characters of lead-in.
 BLOCK, LEAD = 1024, 256
 #: Slots of the memory of which pieces merging keeps apart.
@@ -528,7 +528,7 @@ def decode(coded: DataFrame, pieces: Pieces, ids: str = "piece_ids", text: str =
     return coded.mapInArrow(tidy(run), T.StructType([*coded.schema.fields, T.StructField(text, T.StringType())]))
 
 
-def parts(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about `most` bytes."""
     sizes = np.cumsum(np.array([v or 0 for v in pc.binary_length(batch.column(batch.schema.get_field_index("text"))).to_pylist()], np.int64))
     at = 0
