@@ -104,12 +104,17 @@ def _entity(m: re.Match) -> str:
     return m[0] if code > 0x10FFFF or 0xD800 <= code <= 0xDFFF else chr(code)
 
 
+def decode_text(raw: str) -> str:
+    """decode_entities for one text."""
+    return _ENTITY.sub(_entity, raw) if "&" in raw else raw
+
+
 def decode_entities(c: Column) -> Column:
     """Named, decimal and hex references decoded in one pass from the left; what is none of them, and code points that are no characters, stay."""
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([x if x is None or "&" not in x else _ENTITY.sub(_entity, x) for x in texts.to_pylist()], pa.string())
+        return pa.array([x if x is None else decode_text(x) for x in texts.to_pylist()], pa.string())
 
     return run(c)
 

@@ -1,12 +1,12 @@
 import json
 
 from reflume import cli
-from tests.test_docx import p, package
+from tests.test_docx import STYLES, p, package
 
 
 def test_reports_and_exit_codes(spark, tmp_path, capsys):
     entry = "Doe, J. (2017). Citation practice. Journal of Tests, 12(3), 45-60."
-    (tmp_path / "good.docx").write_bytes(package(p("Doe (2017) said.") + p("References", "Heading1") + p(entry)))
+    (tmp_path / "good.docx").write_bytes(package(p("Doe (2017) said.") + p("References", "Heading1") + p(entry), {"word/styles.xml": STYLES}))
     assert cli.main([str(tmp_path / "good.docx"), "--format", "json"]) == 0
     value = json.loads(capsys.readouterr().out)
     assert value["meta"]["citations"] == 2 and value["meta"]["references"] == 1 and not value["issues"]
