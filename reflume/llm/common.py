@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of rows that one Arrow batch may hold on its way to Python.
-BATCH_BYTES = 16 * 1024 * 1024
+BATCH_BYTES = 2 * 1024 * 1024
 #: Edges that one task holds to contract them.
 EDGES_AT_ONCE = 1_000_000
 #: Rows of a few numbers each that are worth a task.
