@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MATCH, POSSIBLE, MARGIN, EPSILON = 0.7, 0.4, 0.1, 1e-9
+MATCH, POSSIBLE, MARGIN = 0.7, 0.4, 0.1
 CREDIT = {1: 1.0, 3: 0.8, 4: 0.6, 5: 0.0}
 
 
@@ -41,8 +41,14 @@ def targets(entries: DataFrame) -> DataFrame:
     )
 
 
-def pair_score(w: Weights = Weights()) -> Column:
-    """struct(score, tier, reasons) of a joined row with item, key and e."""
+#: What a pair is told by besides its tier, in the order of reasons; the k-th is bit k + 3 of a pair's code.
+_TRAITS = ("given-initial-mismatch", "no-year", "clash", "year-mismatch", "year-match", "suffix", "additional-authors", "page-match")
+_TIERS = {1: "exact", 3: "diacritic-insensitive", 4: "initials", 5: "author-mismatch"}
+_CODE_BITS, _INDEX_BITS, _POINTS = 3 + len(_TRAITS), 31, 10_000
+
+
+def _compare(w: Weights) -> tuple[Column, Column]:
+    """(points, code) of a joined row with item, key and e: the score in whole 1/10,000, and tier and traits in 11 bits."""
     k, e, item = F.col("key"), F.col("e"), F.col("item")
     tier = (
         F.when(~e["named"] | (k["exact"] == ""), 5).when(k["exact"] == e["exact"], 1).when(k["bare"] == e["bare"], 3)
@@ -57,57 +63,77 @@ def pair_score(w: Weights = Weights()) -> Column:
     cs, es = item["year_suffix"], e["suffix"]
     lacks = item["year"].isNull() | e["year"].isNull()
     both, one = cs.isNotNull() & es.isNotNull(), cs.isNotNull() | es.isNotNull()
-    same = ~lacks & (item["year"] == e["year"]) & ~(both & (cs != es))
+    level = ~lacks & (item["year"] == e["year"])
+    same = level & ~(both & (cs != es))
     year = F.when(same, w.year).otherwise(0.0)
     suffix = F.when(~same, 0.0).when(both | ~one, w.year_suffix).otherwise(w.year_suffix / 2)
-    hits = F.size(F.filter(k["others"], lambda a: F.exists(e["others"], lambda b: (a["exact"] == b["exact"]) | (a["bare"] == b["bare"]))))
-    n = F.size(k["others"])
-    more = F.when(n == 0, w.additional_authors).when(F.size(e["others"]) == 0, w.additional_authors / 2).otherwise(hits / F.greatest(n, F.lit(1)) * w.additional_authors)
+    n, m = F.size(k["others"]), F.size(e["others"])
+    shared = F.size(F.filter(k["others"], lambda a: F.exists(e["others"], lambda b: (a["exact"] == b["exact"]) | (a["bare"] == b["bare"]))))
+    hits = F.when((n > 0) & (m > 0), shared).otherwise(0)
+    more = F.when(n == 0, w.additional_authors).when(m == 0, w.additional_authors / 2).otherwise(hits / F.greatest(n, F.lit(1)) * w.additional_authors)
     paged = F.coalesce(F.contains(e["pages"], item["page"]), F.lit(False))
     other = F.when(item["page"].isNull() | paged, w.other).otherwise(0.0)
     total = credit + year + suffix + more + other
-    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.floor(total * 10000 + 0.5) / 10000))
-    names = F.when(tier == 1, "exact").when(tier == 3, "diacritic-insensitive").when(tier == 4, "initials").otherwise("author-mismatch")
-    when = lambda cond, name: F.when(cond, F.lit(name))
-    clash = ~lacks & (item["year"] == e["year"]) & both & (cs != es)
-    reasons = F.array_compact(F.array(
-        names, when(conflict, "given-initial-mismatch"), when(lacks, "no-year"), when(clash, "year-suffix"), when(~lacks & ~same, "year-mismatch"), when(same, "year-match"),
-        when(same & one, "year-suffix"), when((n > 0) & (F.size(e["others"]) > 0) & (hits > 0), "additional-authors"), when(item["page"].isNotNull() & paged, "page-match"),
-    ))
-    return F.struct(score.alias("score"), tier.alias("tier"), reasons.alias("reasons"))
+    points = F.least(F.lit(_POINTS), F.greatest(F.lit(0), F.floor(total * _POINTS + 0.5).cast("int")))
+    code = tier
+    for bit, holds in enumerate((conflict, lacks, level & both & (cs != es), ~lacks & ~same, same, same & one, hits > 0, item["page"].isNotNull() & paged)):
+        code = code + F.when(F.coalesce(holds, F.lit(False)), 8 << bit).otherwise(0)
+    return points, code
+
+
+def _reasons(code: Column) -> Column:
+    """The reasons that a pair's code stands for."""
+    tier = F.when(code.bitwiseAND(7) == 1, _TIERS[1])
+    for t, name in _TIERS.items():
+        tier = tier.when(code.bitwiseAND(7) == t, name)
+    told = [F.when(code.bitwiseAND(8 << bit) != 0, F.lit("year-suffix" if name in ("clash", "suffix") else name)) for bit, name in enumerate(_TRAITS)]
+    return F.array_compact(F.array(tier, *told))
 
 
 def pair_scores(citations: DataFrame, entries: DataFrame, weights: Weights = Weights()) -> DataFrame:
     """doc_id, ord, item_ord, entry_index, score, tier, reasons of every item and entry of a document."""
-    joined = items(citations).join(targets(entries), "doc_id")
-    return joined.select("doc_id", "ord", "item_ord", "entry_index", pair_score(weights).alias("s")).select("doc_id", "ord", "item_ord", "entry_index", "s.*")
+    points, code = _compare(weights)
+    pairs = items(citations).join(targets(entries), "doc_id").select("doc_id", "ord", "item_ord", "entry_index", points.alias("points"), code.alias("code"))
+    return pairs.select("doc_id", "ord", "item_ord", "entry_index", (F.col("points") / _POINTS).alias("score"), F.col("code").bitwiseAND(7).alias("tier"), _reasons(F.col("code")).alias("reasons"))
 
 
 def match_items(citations: DataFrame, entries: DataFrame, weights: Weights = Weights()) -> DataFrame:
     """The verdict on each item: relationship, entry_index, score, tier, reasons, ambiguous (entry indexes).
 
-    One pass of aggregation: the best pair and the pairs above the threshold are
-    all that the verdict needs, so pairs are never sorted.
+    A pair is one long: points, then the place of its entry from the back, then
+    its code. The greatest long of an item is its best pair, so that one hash
+    aggregation over fixed-width values goes through all pairs, and reasons are
+    spelled out for that pair alone. The few items with several pairs above the
+    threshold are compared again for the list of them.
     """
-    pairs = pair_scores(citations, entries, weights)
-    above = F.col("score") >= MATCH - EPSILON
-    best = pairs.groupBy("doc_id", "ord", "item_ord").agg(
-        F.max_by(F.struct("entry_index", "score", "tier", "reasons"), F.struct("score", -F.col("entry_index"))).alias("top"),
-        F.collect_list(F.when(above, F.struct((-F.col("score")).alias("less"), "entry_index"))).alias("above"),
+    at, match, margin, possible = ["doc_id", "ord", "item_ord"], *(round(x * _POINTS) for x in (MATCH, MARGIN, POSSIBLE))
+    points, code = _compare(weights)
+    all_items, all_targets = items(citations), targets(entries)
+    backward = F.lit((1 << _INDEX_BITS) - 1) - F.col("entry_index").cast("long")
+    packed = F.shiftleft(F.shiftleft(points.cast("long"), _INDEX_BITS) + backward, _CODE_BITS) + code
+    pairs = all_items.join(all_targets, "doc_id", "left").select(*at, F.when(F.col("entry_index").isNotNull(), packed).alias("pair"))
+    points_of = F.shiftright("pair", _INDEX_BITS + _CODE_BITS)
+    best = pairs.groupBy(*at).agg(F.max("pair").alias("pair"), F.count_if(points_of >= match).alias("above"))
+    again = best.where("above >= 2").select(*at, points_of.cast("int").alias("most")).join(all_items, at).join(all_targets, "doc_id")
+    again = again.select(*at, "most", "entry_index", points.alias("points")).where(F.col("points") >= match)
+    listed = again.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct((-F.col("points")).alias("less"), "entry_index"))).alias("listed"), F.max("most").alias("most"))
+    near = listed.where(F.col("listed")[1]["less"] + F.col("most") <= margin).select(*at, F.transform("listed", lambda a: a["entry_index"]).alias("near"))
+    rows = best.join(near, at, "left").select(
+        *at, "above", "near", points_of.cast("int").alias("points"), F.col("pair").bitwiseAND((1 << _CODE_BITS) - 1).cast("int").alias("code"),
+        (F.lit((1 << _INDEX_BITS) - 1) - F.shiftright("pair", _CODE_BITS).bitwiseAND((1 << _INDEX_BITS) - 1)).cast("int").alias("top"),
     )
-    rows = items(citations).select("doc_id", "ord", "item_ord").join(best, ["doc_id", "ord", "item_ord"], "left").withColumn("above", F.array_sort(F.coalesce("above", F.array())))
-    near = (F.size("above") >= 2) & (F.get("above", F.lit(1))["less"] + F.col("top.score") <= MARGIN + EPSILON)
     verdict = (
-        F.when(F.col("top").isNull(), "MISSING_REFERENCE").when(F.coalesce(near, F.lit(False)), "AMBIGUOUS").when(F.size("above") >= 1, "MATCHED")
-        .when(F.col("top.score") >= POSSIBLE - EPSILON, "POSSIBLE_MISMATCH").otherwise("MISSING_REFERENCE")
+        F.when(F.col("points").isNull(), "MISSING_REFERENCE").when(F.col("near").isNotNull(), "AMBIGUOUS").when(F.col("above") >= 1, "MATCHED")
+        .when(F.col("points") >= possible, "POSSIBLE_MISMATCH").otherwise("MISSING_REFERENCE")
     )
-    rows = rows.withColumn("relationship", verdict)
-    missing = F.col("relationship") == "MISSING_REFERENCE"
+    rows = rows.withColumn("relationship", verdict).withColumn("score", F.coalesce(F.col("points") / _POINTS, F.lit(0.0)))
+    missing, unsure = F.col("relationship") == "MISSING_REFERENCE", F.col("relationship") == "AMBIGUOUS"
+    told = _reasons(F.col("code"))
     return rows.select(
-        "doc_id", "ord", "item_ord", "relationship", F.when(F.col("relationship") == "MATCHED", F.col("top.entry_index")).alias("entry_index"),
-        F.coalesce("top.score", F.lit(0.0)).alias("score"), F.coalesce("top.tier", F.lit(5)).alias("tier"), F.when(missing, 0.0).otherwise(F.col("top.score")).alias("confidence"),
-        F.when(missing, F.array(F.lit("no-entry"))).when(F.col("relationship") == "AMBIGUOUS", F.array_distinct(F.concat("top.reasons", F.array(F.lit("ambiguous"))))).otherwise(F.col("top.reasons")).alias("reasons"),
-        F.when(F.col("relationship") == "AMBIGUOUS", F.transform("above", lambda a: a["entry_index"])).otherwise(F.array().cast("array<int>")).alias("ambiguous"),
+        *at, "relationship", F.when(F.col("relationship") == "MATCHED", F.col("top")).alias("entry_index"), "score", F.coalesce(F.col("code").bitwiseAND(7), F.lit(5)).alias("tier"),
+        F.when(missing, 0.0).otherwise(F.col("score")).alias("confidence"),
+        F.when(missing, F.array(F.lit("no-entry"))).when(unsure, F.array_distinct(F.concat(told, F.array(F.lit("ambiguous"))))).otherwise(told).alias("reasons"),
+        F.coalesce("near", F.array().cast("array<int>")).alias("ambiguous"),
     )
 
 
