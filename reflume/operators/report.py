@@ -1,27 +1,47 @@
-"""Reports: a document's counts, JSON, text and HTML, validation and exit codes."""
+"""Reports: a document's counts, JSON, text and HTML, validation, exit codes and saving."""
 
 from __future__ import annotations
 
 import html
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reflume.operators.rules import Context
+from reflume.functions.text import utf16_length
+from reflume.operators.rules import Context, active_rules
 from reflume.plans.lint import severity_counts
 from reflume.schema import SEVERITIES
 
 VERSION = 1
+PROGRAM = "reflume 1.0"
+#: Codes of failed runs with their exit codes; a report without issues exits with 0, others with 1.
+FAILURES = {"unsupported-document": 3, "parse-failure": 2, "file-not-found": 2, "usage": 2}
+_ASTRAL = r"[\x{10000}-\x{10FFFF}]"
+
+
+def _utf16(issues: DataFrame, blocks: DataFrame) -> DataFrame:
+    """issues with start and end in UTF-16 units; only texts that have characters beyond the basic plane travel."""
+    wide = blocks.where(F.col("text").rlike(_ASTRAL)).groupBy("doc_id", "block_id").agg(F.first("text").alias("text"))
+    wide = wide.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("block_id", "text"))).alias("_texts"))
+    text = F.try_element_at(F.col("_texts"), F.col("block_id"))
+
+    def at(name: str) -> Column:
+        head = F.substring(text, F.lit(1), F.col(name))
+        return F.when(text.isNull(), F.col(name)).otherwise(utf16_length(head)).alias(name)
+
+    rest = [c for c in issues.columns if c not in ("start", "end")]
+    return issues.join(wide, "doc_id", "left").select(*rest, at("start"), at("end"))
 
 
 def report_rows(ctx: Context, ordered_issues: DataFrame) -> DataFrame:
-    """doc_id, citations, references, the four counts, issues (array in order) of every document."""
-    listed = ordered_issues.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("position", "issue_id", "rule_id", "severity", "message", "evidence", "block_id", "paragraph_index", "start", "end"))).alias("issues")
-    )
+    """doc_id, citations, references, the four counts, issues (array in order, offsets in UTF-16 units) of every document."""
+    names = ("position", "issue_id", "rule_id", "severity", "message", "evidence", "block_id", "paragraph_index", "start", "end")
+    listed = _utf16(ordered_issues, ctx.blocks).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("issues"))
     cites = ctx.citations.groupBy("doc_id").agg(F.count("*").alias("citations"))
     refs = ctx.entries.groupBy("doc_id").agg(F.count("*").alias("references"))
     rows = severity_counts(ctx.documents, ordered_issues).join(cites, "doc_id", "left").join(refs, "doc_id", "left").join(listed, "doc_id", "left")
@@ -33,68 +53,204 @@ def _source(i: dict) -> dict:
     return {k: v for k, v in known.items() if v is not None}
 
 
-def report(row: dict, name: str | None = None) -> dict:
-    """A row of report_rows as the report's object."""
-    issues = [
-        {"id": i["issue_id"], "ruleId": i["rule_id"], "severity": i["severity"], "message": i["message"], "evidence": [{"code": e["code"], "message": e["message"], "source": _source(i)} for e in i["evidence"] or []], "sourceLoc": _source(i)}
-        for i in row["issues"] or []
-    ]
-    meta = {"file": name or row["doc_id"], "citations": row["citations"], "references": row["references"]}
-    return {"version": VERSION, "meta": meta, "issues": issues, "counts": {s: row[s.lower()] for s in SEVERITIES}}
+def _envelope(file: str, citations: int = 0, references: int = 0, rule_ids: Sequence[str] = (), issues: Sequence[dict] = (), counts: Mapping[str, int] | None = None) -> dict:
+    meta = {"file": file, "citations": citations, "references": references, "ruleIds": list(rule_ids)}
+    return {"version": VERSION, "meta": meta, "issues": list(issues), "counts": dict.fromkeys(SEVERITIES, 0) | dict(counts or {})}
+
+
+def report(row: dict, name: str | None = None, rule_ids: Sequence[str] | None = None) -> dict:
+    """A row of report_rows as the report's object. rule_ids: the rules that ran, all of the built-in ones by default."""
+    issues = []
+    for i in row["issues"] or []:
+        where = _source(i)
+        evidence = [{"code": e["code"], "message": e["message"], "source": where} for e in i["evidence"] or []]
+        issues.append({"id": i["issue_id"], "ruleId": i["rule_id"], "severity": i["severity"], "message": i["message"], "evidence": evidence, "sourceLoc": where})
+    ran = active_rules() if rule_ids is None else rule_ids
+    return _envelope(name or row["doc_id"], row["citations"], row["references"], ran, issues, {s: row[s.lower()] for s in SEVERITIES})
+
+
+def empty_report(name: str, rule_ids: Sequence[str] | None = None) -> dict:
+    """The report of a document without blocks."""
+    return _envelope(name, rule_ids=active_rules() if rule_ids is None else rule_ids)
 
 
 def serialize(value: dict) -> str:
     return json.dumps(value, indent=2, ensure_ascii=False) + "\n"
 
 
-def report_json(rows: DataFrame) -> DataFrame:
+def report_json(rows: DataFrame, rule_ids: Sequence[str] | None = None) -> DataFrame:
     """doc_id, json of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = batch.to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in out], pa.string()), pa.array([serialize(report(r)) for r in out], pa.string())], ["doc_id", "json"])
+            texts = [serialize(report(r, rule_ids=rule_ids)) for r in out]
+            yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in out], pa.string()), pa.array(texts, pa.string())], ["doc_id", "json"])
 
     return rows.mapInArrow(run, "doc_id string, json string")
 
 
-def error_report(name: str, kind: str, message: str) -> dict:
-    return {"version": VERSION, "meta": {"file": name, "citations": 0, "references": 0}, "issues": [], "counts": dict.fromkeys(SEVERITIES, 0), "error": {"name": kind, "message": message}}
+# --- Failures ------------------------------------------------------------------------------------
+
+
+def failure(name: str, message: str) -> dict:
+    """code and message of an error by its name."""
+    if name == "UnsupportedFormatError":
+        return {"code": "unsupported-document", "message": message}
+    if name == "FileNotFoundError":
+        return {"code": "file-not-found", "message": f"file not found: {message}"}
+    if name in ("PermissionError", "IsADirectoryError", "NotADirectoryError"):
+        return {"code": "file-not-found", "message": message}
+    return {"code": "parse-failure", "message": message}
+
+
+def error_report(file: str, name: str, message: str) -> dict:
+    return _envelope(file) | {"error": failure(name, message)}
 
 
 def exit_code(value: dict) -> int:
-    """0 no issue, 1 any issue, 2 unreadable input, 3 anything else."""
-    if "error" in value:
-        return 2 if value["error"]["name"] in ("NotADocxError", "ZipBombError", "UnsupportedFeatureError", "DocumentTooLargeError") else 3
-    return int(any(value["counts"].values()))
-
-
-def validate(value, path: str = "$") -> list[str]:
-    """What is wrong with a report, by path; nothing if it is well formed."""
-    if not isinstance(value, dict):
-        return [f"{path}: not an object"]
-    out = [f"{path}.{k}: required" for k in ("version", "meta", "issues", "counts") if k not in value]
-    out += [f"{path}.{k}: not allowed" for k in value if k not in ("version", "meta", "issues", "counts", "error")]
-    if "version" in value and value["version"] != VERSION:
-        out.append(f"{path}.version: must be {VERSION}")
-    counts = value.get("counts")
-    if isinstance(counts, dict):
-        out += [f"{path}.counts.{s}: required" for s in SEVERITIES if s not in counts]
-        out += [f"{path}.counts.{s}: must be a whole number of 0 or more" for s, n in counts.items() if type(n) is not int or n < 0]
-    for k, issue in enumerate(value.get("issues") or []):
-        at = f"{path}.issues[{k}]"
-        out += [f"{at}.{f}: required" for f in ("id", "ruleId", "severity", "message", "evidence", "sourceLoc") if f not in issue]
-        if issue.get("severity") not in SEVERITIES:
-            out.append(f"{at}.severity: not one of {', '.join(SEVERITIES)}")
-    return out
+    """0 no issue, 1 any issue, else that of the failure."""
+    return FAILURES[value["error"]["code"]] if "error" in value else int(bool(value["issues"]))
+
+
+# --- Validation ------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class _Text:
+    options: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class _Whole:
+    least: int | None = 0
+    exactly: int | None = None
+
+
+@dataclass(frozen=True)
+class _Many:
+    of: object
+
+
+@dataclass(frozen=True)
+class _Record:
+    """fields by name; those not in `optional` are required, and no others are allowed."""
+
+    fields: dict[str, object]
+    optional: frozenset[str] = field(default_factory=frozenset)
+
+
+_PLACE = _Record(
+    {"blockId": _Text(), "paragraphIndex": _Whole(), "runIndex": _Whole(), "startOffset": _Whole(), "endOffset": _Whole()},
+    frozenset({"paragraphIndex", "runIndex", "startOffset", "endOffset"}),
+)
+_EVIDENCE = _Record({"code": _Text(), "message": _Text(), "source": _PLACE})
+_ISSUE = _Record({"id": _Text(), "ruleId": _Text(), "severity": _Text(SEVERITIES), "message": _Text(), "evidence": _Many(_EVIDENCE), "sourceLoc": _PLACE})
+_REPORT = _Record(
+    {
+        "version": _Whole(None, VERSION),
+        "meta": _Record({"file": _Text(), "citations": _Whole(), "references": _Whole(), "ruleIds": _Many(_Text())}),
+        "issues": _Many(_ISSUE),
+        "counts": _Record({s: _Whole() for s in SEVERITIES}),
+        "error": _Record({"code": _Text(tuple(FAILURES)), "message": _Text()}),
+    },
+    frozenset({"error"}),
+)
+
+
+def _shown(value) -> str:
+    if value is None or isinstance(value, bool):
+        return {None: "null", True: "true", False: "false"}[value]
+    return "object" if isinstance(value, dict | list) else str(value)
+
+
+def _faults(kind: object, value, path: str) -> Iterator[str]:
+    """What is wrong with a value, from the outside in."""
+    whole = type(value) is int or (type(value) is float and value.is_integer())
+    match kind:
+        case _Record(fields, optional):
+            if not isinstance(value, dict):
+                yield f"{path}: expected object, got {_shown(value)}"
+                return
+            yield from (f'{path}: missing required property "{k}"' for k in fields if k not in value and k not in optional)
+            yield from (f'{path}: unexpected property "{k}"' for k in value if k not in fields)
+            for k in fields.keys() & value.keys():
+                yield from _faults(fields[k], value[k], f"{path}.{k}")
+        case _Many(of):
+            if not isinstance(value, list):
+                yield f"{path}: expected array, got {_shown(value)}"
+                return
+            for n, x in enumerate(value):
+                yield from _faults(of, x, f"{path}[{n}]")
+        case _Text(options):
+            if not isinstance(value, str):
+                yield f"{path}: expected string, got {_shown(value)}"
+            elif options and value not in options:
+                yield f'{path}: "{value}" not in enum [{", ".join(json.dumps(o) for o in options)}]'
+        case _Whole(least, exactly):
+            if not whole:
+                yield f"{path}: expected integer, got {_shown(value)}"
+            elif exactly is not None and value != exactly:
+                yield f"{path}: expected const {exactly}, got {_shown(value)}"
+            elif least is not None and value < least:
+                yield f"{path}: expected >= {least}, got {_shown(value)}"
+
+
+def validate(value) -> list[str]:
+    """What is wrong with a report (its JSON text or its object), by path; nothing if it is well formed."""
+    if isinstance(value, str):
+        try:
+            value = json.loads(value)
+        except ValueError as e:
+            return [f"report: not valid JSON — {e}"]
+    return sorted(_faults(_REPORT, value, "report"))
+
+
+# --- Rendering -------------------------------------------------------------------------------------
+
+
+def _head(value: dict) -> list[str]:
+    meta = value["meta"]
+    return [f"{PROGRAM} — {meta['file']}", f"Citations: {meta['citations']}    References: {meta['references']}", ""]
+
+
+def _summary(value: dict) -> str:
+    n = len(value["issues"])
+    if not n:
+        return "No consistency issues found."
+    shares = ", ".join(f"{s}: {value['counts'][s]}" for s in SEVERITIES if value["counts"][s])
+    return f"{n} {'issue' if n == 1 else 'issues'} found ({shares})"
+
+
+def _place(at: dict) -> str:
+    """A block, with its paragraph, with its characters, as far as they are known."""
+    inside = []
+    if "paragraphIndex" in at:
+        inside.append(f"paragraph {at['paragraphIndex']}")
+        if {"startOffset", "endOffset"} <= at.keys():
+            inside.append(f"chars {at['startOffset']}-{at['endOffset']}")
+    return f"{at['blockId']} ({', '.join(inside)})" if inside else at["blockId"]
 
 
 def render_text(value: dict) -> str:
-    if "error" in value:
-        return f"{value['meta']['file']}: {value['error']['message']}\n"
-    lines = [f"{value['meta']['file']}: {value['meta']['citations']} citations, {value['meta']['references']} references"]
-    lines += [f"{i['severity']:<10}{i['ruleId']}  {i['message']}" for i in value["issues"]] or ["No issues found."]
-    return "\n".join([*lines, ", ".join(f"{s}: {n}" for s, n in value["counts"].items())]) + "\n"
+    """How many issues there are of each severity."""
+    table = [("Severity", "Count"), ("-" * 9, "-" * 5), *((s, str(value["counts"][s])) for s in SEVERITIES)]
+    return "\n".join([*_head(value), *(f"{a:<9} {b:>5}" for a, b in table), "", _summary(value)]) + "\n"
+
+
+def render_detailed(value: dict) -> str:
+    """All issues with where they are and what speaks for them."""
+    lines = [*_head(value), _summary(value)]
+    for n, issue in enumerate(value["issues"], 1):
+        here = issue["sourceLoc"]
+        lines += ["", f"{n}. [{issue['severity']}] {issue['id']} — {issue['message']}", f"   Source: {_place(here)}"]
+        if issue["evidence"]:
+            lines.append("   Evidence:")
+        for e in issue["evidence"]:
+            lines.append(f"     - {e['code']}: {e['message']}")
+            if e["source"]["blockId"] != here["blockId"]:
+                lines.append(f"       ({_place(e['source'])})")
+    return "\n".join(lines) + "\n"
 
 
 def render_html(value: dict) -> str:
@@ -103,3 +259,27 @@ def render_html(value: dict) -> str:
     data = json.dumps(value, ensure_ascii=False).replace("<", "\\u003c").replace(">", "\\u003e").replace("&", "\\u0026")
     title = html.escape(str(value["meta"]["file"]))
     return f'<!doctype html><html><head><meta charset="utf-8"><title>{title}</title></head><body><h1>{title}</h1><table>{rows}</table><script type="application/json">{data}</script></body></html>'
+
+
+# --- Saving ------------------------------------------------------------------------------------------
+
+
+def file_name(file: str, kind: str) -> str:
+    """What a report of a file is saved as; kind json or html."""
+    return f"{file}.{kind}"
+
+
+def saved(save: Callable[[], object]) -> bool:
+    """Whether save() went without an error."""
+    try:
+        save()
+    except Exception:  # whatever hinders a save, the report itself is not lost
+        return False
+    return True
+
+
+def save(value: dict, folder: str, kind: str = "json") -> bool:
+    """Writes a report beside others in a folder of the driver's; False where that is not possible."""
+    text = serialize(value) if kind == "json" else render_html(value)
+    name = file_name(Path(value["meta"]["file"]).name, kind)
+    return saved(lambda: Path(folder, name).write_text(text, encoding="utf-8"))

@@ -190,14 +190,18 @@ def _own(rule: Rule, ctx: Context) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(w) - 1).select(*ISSUE)
 
 
+def active_rules(enabled: Sequence[str] | None = None, custom: Sequence[Rule] = ()) -> list[str]:
+    """Ids of the rules that a run with these options has, built-in ones first."""
+    return [i for segment, ids in SEGMENTS.items() if enabled is None or segment in enabled for i in ids] + [r.id for r in custom]
+
+
 def run_rules(ctx: Context, enabled: Sequence[str] | None = None, overrides: Mapping[str, str] | None = None, custom: Sequence[Rule] = ()) -> DataFrame:
     """All issues. enabled: segments to run (all); overrides: rule id -> severity in any case, others are passed over."""
     ids = [r.id for r in custom]
     clash = [i for i in ids if i in RULES or ids.count(i) > 1]
     if clash:
         raise TypeError(f"rule id used twice: {clash[0]}")
-    wanted = [i for segment, known in SEGMENTS.items() if enabled is None or segment in enabled for i in known]
-    parts = [p for i in wanted if (p := RULES[i](ctx)) is not None] + [_own(r, ctx) for r in custom]
+    parts = [p for i in active_rules(enabled) if (p := RULES[i](ctx)) is not None] + [_own(r, ctx) for r in custom]
     if not parts:
         parts = [cs007(ctx).limit(0)]
     out = parts[0].select(*ISSUE)

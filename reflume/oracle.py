@@ -190,6 +190,36 @@ SQL: dict[str, str] = {
     "severity_override": _KEYS + f"""SELECT {_DOC}, count(*) FILTER (WHERE severity = 'ERROR' AND rule <> 'CS001') AS error, count(*) FILTER (WHERE severity = 'WARNING' OR rule = 'CS001') AS warning, CAST(0 AS BIGINT) AS ambiguous,
       count(*) FILTER (WHERE rule = 'CS004') AS info FROM docs LEFT JOIN issues USING (o) GROUP BY o""",
     "resolution_candidates": _KEYS + f"SELECT {_DOC}, count(DISTINCT c) AS n, CAST(max(len(candidates)) AS INT) AS most FROM verdict WHERE rel = 'AMBIGUOUS' GROUP BY o",
+    "expected_raws": """
+      WITH told AS (SELECT o_orderkey AS fixture, o_orderpriority AS raw FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey % 14 <> 0
+        UNION ALL SELECT o_orderkey, 'own' FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey % 14 <> 0)
+      SELECT fixture, count(*) AS n, min(raw) AS least, max(raw) AS most FROM (
+        SELECT l_orderkey AS fixture, CAST(l_partkey AS VARCHAR) AS raw FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0) UNION ALL SELECT * FROM told
+      ) GROUP BY fixture""",
+    "expected_matches": """
+      WITH li AS (SELECT l_orderkey AS fixture, l_linenumber AS c, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2),
+      r AS (SELECT *, CAST(p % 10 AS VARCHAR) AS raw FROM li),
+      f AS (SELECT fixture, raw, arg_max(s, c) AS found FROM r WHERE c % 3 <> 0 AND s % 11 > 0 GROUP BY 1, 2),
+      t AS (SELECT fixture, raw, min(p) AS told FROM r WHERE p % 5 = 0 GROUP BY 1, 2)
+      SELECT fixture, raw, coalesce(told, found) AS entry FROM f FULL JOIN t USING (fixture, raw)""",
+    "expected_issue_counts": _KEYS + f"""
+      , want AS (SELECT o, rule FROM issues WHERE rule <> 'CS009'
+        UNION ALL SELECT o, 'CS009' FROM status WHERE status = 'UNUSED' AND (o, e + 1) NOT IN (SELECT o, idx FROM tok WHERE status = 'resolved')),
+      frame AS (SELECT o, unnest(['CS001', 'CS002', 'CS003', 'CS004', 'CS005', 'CS006', 'CS007', 'CS008', 'CS009']) AS rule FROM docs),
+      n AS (SELECT o, rule, count(*) AS n FROM want GROUP BY o, rule)
+      SELECT {_DOC}, rule AS rule_id, coalesce(n, 0) AS expected FROM frame LEFT JOIN n USING (o, rule)""",
+    "resolution_upsert": """
+      WITH h AS (SELECT user_id, event_type, max(event_id) AS choice, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)) - 1 AS place FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2),
+      n AS (SELECT user_id, event_type, max(event_id) AS newer, min(event_id) AS first FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2),
+      b AS (SELECT *, count(place) OVER (PARTITION BY user_id) AS had FROM h FULL JOIN n USING (user_id, event_type))
+      SELECT CAST(user_id AS VARCHAR) AS file, event_type AS citation_id, CAST(coalesce(newer, choice) AS VARCHAR) AS choice,
+        coalesce(place, had - 1 + row_number() OVER (PARTITION BY user_id, place IS NULL ORDER BY first)) AS place FROM b""",
+    "run_states": """
+      WITH e AS (SELECT *, event_id % 7 AS g, max(event_id % 7) OVER (PARTITION BY user_id) AS newest FROM events)
+      SELECT user_id AS session, g AS generation,
+        coalesce(arg_max(CASE event_type WHEN 'purchase' THEN 'done' ELSE 'error' END, event_id) FILTER (WHERE event_type IN ('purchase', 'error')), 'analyzing') AS status,
+        coalesce(string_agg(event_type, ',' ORDER BY event_id) FILTER (WHERE event_type IN ('view', 'click')), '') AS stages
+      FROM e WHERE g = newest GROUP BY user_id, g""",
     "stage_status": """SELECT o_orderkey AS run_id, o_orderkey % 5 AS done, ['reading-document', 'detecting-bibliography', 'finding-citations', 'matching-references', 'running-checks'][o_orderkey % 5 + 1] AS current, 4 - o_orderkey % 5 AS pending FROM orders""",
     "docx_read": "SELECT CAST(n_nationkey AS VARCHAR) AS doc_id, CASE WHEN n_nationkey % 5 = 0 THEN 'NotADocxError' END AS error, CASE WHEN n_nationkey % 5 <> 0 THEN n_name END AS text FROM nation",
     "utf16_lengths": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) * 0 + length(coalesce(text, '')) + len(regexp_extract_all(coalesce(text, ''), '[\\x{10000}-\\x{10FFFF}]')) + 2 AS BIGINT) AS units FROM documents",

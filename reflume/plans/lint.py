@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import threading
+import time
+import uuid
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+from pyspark import SparkContext, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reflume.operators import bibliography, citations, matching, rules
+from reflume.schema import SEVERITIES, STAGES
+
+#: Seconds that the analysis of one document may take by default.
+SECONDS = 30.0
+
+
+class TimeBudgetExceededError(Exception):
+    """A run took longer than it may."""
 
 
 @dataclass
@@ -56,9 +68,63 @@ def lint(blocks: DataFrame, options: Options = Options()) -> DataFrame:
     return rules.ordered(rules.run_rules(analyse(blocks, options), options.enabled, options.severity_overrides, options.custom_rules))
 
 
+@contextmanager
+def time_budget(sc: SparkContext, seconds: float | None) -> Iterator[Callable[[str], None]]:
+    """Gives a function that raises TimeBudgetExceededError once the time is over; jobs that run by then are cancelled."""
+    if seconds is None:
+        yield lambda label: None
+        return
+    tag, late = f"reflume-{uuid.uuid4().hex}", time.monotonic() + seconds
+
+    def check(label: str) -> None:
+        if time.monotonic() > late:
+            raise TimeBudgetExceededError(f"processing time budget exceeded at {label}")
+
+    timer = threading.Timer(seconds, sc.cancelJobsWithTag, [tag])
+    timer.daemon = True
+    timer.start()
+    sc.addJobTag(tag)
+    try:
+        yield check
+    except TimeBudgetExceededError:
+        raise
+    except Exception as e:  # a cancelled job's error, or another one in time
+        if time.monotonic() > late:
+            raise TimeBudgetExceededError("processing time budget exceeded within a job") from e
+        raise
+    finally:
+        sc.removeJobTag(tag)
+        timer.cancel()
+
+
+def run(
+    blocks: DataFrame, options: Options = Options(), on_stage: Callable[[str], None] | None = None, seconds: float | None = None
+) -> tuple[rules.Context, DataFrame]:
+    """The analysis and its ordered issues, worked out stage by stage.
+
+    on_stage is told the name of each stage as it begins. seconds: None, or what
+    all stages together may take; TimeBudgetExceededError beyond it. The tables
+    are held until release().
+    """
+    say = on_stage or (lambda stage: None)
+    with time_budget(blocks.sparkSession.sparkContext, seconds) as check:
+        ctx = analyse(blocks, options)
+        try:
+            for stage, table in zip(STAGES, (ctx.blocks, ctx.documents, ctx.citations, ctx.matches, None), strict=True):
+                check(stage)
+                say(stage)
+                if table is None:
+                    table = rules.ordered(rules.run_rules(ctx, options.enabled, options.severity_overrides, options.custom_rules))
+                    ctx.held.append(table.persist(StorageLevel.MEMORY_AND_DISK))
+                table.write.format("noop").mode("overwrite").save()
+            check("the end")
+        except Exception:
+            release(ctx)
+            raise
+    return ctx, table
+
+
 def severity_counts(documents: DataFrame, issues: DataFrame) -> DataFrame:
     """doc_id and the number of issues of each severity, zeros kept."""
-    from reflume.schema import SEVERITIES
-
     per = issues.groupBy("doc_id").agg(*(F.count_if(F.col("severity") == s).alias(s.lower()) for s in SEVERITIES))
     return documents.select("doc_id").join(per, "doc_id", "left").select("doc_id", *(F.coalesce(F.col(s.lower()), F.lit(0)).alias(s.lower()) for s in SEVERITIES))

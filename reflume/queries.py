@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reflume import schema
+from reflume import protocol, schema
 from reflume.functions import grammar
 from reflume.functions import text as tx
-from reflume.operators import bibliography, citations, explore, matching, metrics, regions, report, rules
+from reflume.operators import bibliography, citations, explore, matching, metrics, regions, report, resolutions, rules
 from reflume.plans import lint
 from reflume.sources import docx
 from reflume.sources.corpus import family, manuscripts, year
@@ -383,6 +383,54 @@ def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.gates(measured).select("metric", F.round("value", 6).alias("value"), "target", "passed")
 
 
+def expected_raws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ship modes of orders as their expected citations; every seventh order has an overlay instead, every fourteenth an empty one."""
+    known = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("fixture"), F.col("l_partkey").cast("string").alias("raw"))
+    told = F.when(F.col("o_orderkey") % 14 == 0, F.array().cast("array<string>")).otherwise(F.array("o_orderpriority", F.lit("own")))
+    overlays = _table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("fixture"), told.alias("raws"))
+    return metrics.expected_raws(known, overlays).groupBy("fixture").agg(F.count("*").alias("n"), F.min("raw").alias("least"), F.max("raw").alias("most"))
+
+
+def expected_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of an order stand for citations, suppliers for entries; overlays tell the suppliers of every fifth part anew."""
+    li = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    rows = li.select(
+        F.col("l_orderkey").alias("fixture"), F.col("l_linenumber").cast("string").alias("citation_id"), (F.col("p") % 10).cast("string").alias("raw"), "p",
+        F.when(F.col("l_linenumber") % 3 == 0, "AMBIGUOUS").otherwise("MATCHED").alias("relationship"), F.when(F.col("s") % 11 > 0, F.col("s")).alias("entry"),
+    )
+    overlays = rows.where("p % 5 = 0").groupBy("fixture", "raw").agg(F.min("p").alias("entry"))
+    return metrics.expected_matches(rows.drop("raw", "p"), rows.drop("relationship", "entry"), overlays)
+
+
+@_analysed
+def expected_issue_counts(ctx: rules.Context) -> DataFrame:
+    """The issues that the tables of an analysis call for, rule by rule; those of two rules come as overlays."""
+    place = F.col("doc_id").alias("fixture")
+    cited = ctx.citations.join(ctx.matches.select("doc_id", "ord", "relationship", "reasons"), ["doc_id", "ord"])
+    first = F.get("authors", F.lit(0))["exact"]
+    known = ctx.entries.join(ctx.status, ["doc_id", "entry_index"]).select(place, F.col("entry_index").alias("entry"), "status", first.alias("author"), "year", F.col("year_suffix").alias("suffix"))
+    tokens = ctx.tokens.select(place, "status", F.col("entry_index").alias("entry"))
+    failed = ctx.entries.where("failure is not null").select(place, F.lit("CS006").alias("rule_id"), F.lit(1).alias("n"))
+    overlays = failed.unionByName(ctx.invalid.select(place, F.lit("CS007").alias("rule_id"), F.lit(1).alias("n")))
+    named = metrics.expected_issue_counts(ctx.documents.select(place), cited.select(place, "family", "relationship", "reasons"), known, tokens, overlays, rules.active_rules())
+    return named.select(F.col("fixture").alias("doc_id"), "rule_id", "expected")
+
+
+def resolution_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of even ids as decisions held, those of odd ids as new ones."""
+    rows = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("file"), F.col("event_type").alias("citation_id"), F.col("event_id").cast("string").alias("choice"), F.col("event_id").alias("seq"))
+    nothing = spark.createDataFrame([], resolutions.HELD)
+    held = resolutions.upsert(nothing, rows.where("seq % 2 = 0"))
+    return resolutions.upsert(held, rows.where("seq % 2 = 1"))
+
+
+def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as sessions; the runs' events come in no order."""
+    kind = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "start").otherwise("stage")
+    rows = _table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), (F.col("event_id") % 7).alias("generation"), kind.alias("kind"), F.col("event_type").alias("stage"))
+    return protocol.run_states(rows).select("session", "generation", "status", F.array_join("stages", ",").alias("stages"))
+
+
 def stage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     stages = F.array(*map(F.lit, schema.STAGES))
     runs = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.element_at(stages, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("current"))
@@ -463,6 +511,11 @@ QUERIES: dict[str, Query] = {
     "severity_override": severity_override,
     "resolution_candidates": resolution_candidates,
     "quality_gates": quality_gates,
+    "expected_raws": expected_raws,
+    "expected_matches": expected_matches,
+    "expected_issue_counts": expected_issue_counts,
+    "resolution_upsert": resolution_upsert,
+    "run_states": run_states,
     "stage_status": stage_status,
     "docx_read": docx_read,
     "utf16_lengths": utf16_lengths,

@@ -21,6 +21,24 @@ def year(k: Column) -> Column:
     return (1950 + (k * 11) % 70).cast("string")
 
 
+def long_manuscripts(spark: SparkSession, documents: int, entries: int = 260, citations: int = 2335, paragraphs: int = 900) -> DataFrame:
+    """Blocks of manuscripts of about a hundred pages: each citation in a sentence of twenty words, paragraphs of two or three sentences, every entry cited."""
+    say = "These words stand for the prose of a long manuscript and lead up to the claim that others have made before"
+    docs = spark.range(documents).select(F.col("id").cast("string").alias("doc_id"), (F.col("id") * entries).alias("b"))
+    of = lambda j: F.col("b") + j * 7 % entries
+    body = docs.select("doc_id", "b", F.explode(F.sequence(F.lit(0), F.lit(paragraphs - 1))).alias("k"))
+    sentence = lambda j: F.concat(F.lit(f"{say} ("), family(of(j)), F.lit(", "), year(of(j)), F.lit(")."))
+    body = body.select("doc_id", "k", F.lit("paragraph").alias("type"), F.array_join(F.transform(F.sequence(F.col("k"), F.lit(citations - 1), F.lit(paragraphs)), sentence), " ").alias("text"))
+    head = docs.select("doc_id", F.lit(paragraphs).alias("k"), F.lit("heading").alias("type"), F.lit("References").alias("text"))
+    cited = docs.select("doc_id", (F.col("b") + F.explode(F.sequence(F.lit(0), F.lit(entries - 1)))).alias("s"), "b")
+    line = F.concat(family(F.col("s")), F.lit(", J. ("), year(F.col("s")), F.lit("). Title "), F.lower(family(F.col("s"))), F.lit(". Journal of Tests, 12(3), 45-60."))
+    cited = cited.select("doc_id", (F.col("s") - F.col("b") + paragraphs + 1).cast("int").alias("k"), F.lit("paragraph").alias("type"), line.alias("text"))
+    return body.unionByName(head).unionByName(cited).select(
+        "doc_id", F.col("k").alias("block_ord"), F.concat(F.lit("doc-p"), F.col("k").cast("string")).alias("block_id"), "type", "text",
+        F.when(F.col("type") == "heading", "Heading1").alias("style"), F.col("k").alias("paragraph_index"), F.lit(None).cast("array<string>").alias("fields"),
+    )
+
+
 def manuscripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of one manuscript for every order that has lineitems."""
     pairs = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()

@@ -70,9 +70,9 @@ def unzip(data: bytes, seconds: float = SECONDS) -> dict[str, bytes]:
 def _inflate(data: bytes, info: zipfile.ZipInfo, late: float) -> bytes:
     """One part, inflated step by step: never more than its declared size, and not beyond the time `late`."""
     if info.flag_bits & 1:
-        raise PackageError("UnsupportedFeatureError", f"{info.filename}: encrypted")
+        raise PackageError("UnsupportedFormatError", f"{info.filename}: encrypted")
     if info.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
-        raise PackageError("UnsupportedFeatureError", f"{info.filename}: compression {info.compress_type}")
+        raise PackageError("UnsupportedFormatError", f"{info.filename}: compression {info.compress_type}")
     head = data[info.header_offset : info.header_offset + 30]
     if len(head) < 30 or head[:4] != b"PK\x03\x04":
         raise PackageError("NotADocxError", f"{info.filename}: no header")
@@ -106,7 +106,7 @@ def _part(parts: dict[str, bytes], name: str) -> str | None:
         return None
     text = parts[name].decode("utf-8-sig", "replace")
     if len(text) > XML_CHARS:
-        raise PackageError("DocumentTooLargeError", f"{name}: too long")
+        raise PackageError("ZipBombError", f"{name}: too long")
     return text
 
 

@@ -11,8 +11,10 @@ def test_reports_and_exit_codes(spark, tmp_path, capsys):
     value = json.loads(capsys.readouterr().out)
     assert value["meta"]["citations"] == 2 and value["meta"]["references"] == 1 and not value["issues"]
     (tmp_path / "bad.docx").write_bytes(package(p("Roe (2001) said.")))
-    assert cli.main([str(tmp_path / "bad.docx")]) == 1 and "CS001" in capsys.readouterr().out
+    assert cli.main([str(tmp_path / "bad.docx")]) == 1 and "1 issue found (ERROR: 1)" in capsys.readouterr().out
+    assert cli.main([str(tmp_path / "bad.docx"), "-d"]) == 1 and "1. [ERROR] CS001:0" in capsys.readouterr().out
+    assert cli.main([str(tmp_path / "gone.docx")]) == 2 and "file not found" in capsys.readouterr().err
     (tmp_path / "no.docx").write_bytes(b"PK nothing of the kind, just bytes")
     assert cli.main([str(tmp_path), "--severity", "CS001=info"]) == 2
-    out = capsys.readouterr().out
-    assert "INFO" in out and "no.docx" in out
+    told = capsys.readouterr()
+    assert "INFO: 1" in told.out and "no.docx" in told.err

@@ -47,7 +47,7 @@ def test_bad_packages():
     zipfile.ZipFile(empty, "w").close()
     assert name(empty.getvalue()) == "NotADocxError"
     assert name(package(p("x"), {"word/media/a": b"\0" * (docx.ENTRY_BYTES + 1)})) == "ZipBombError"
-    assert name(package(p("x"), compression=zipfile.ZIP_BZIP2)) == "UnsupportedFeatureError"
+    assert name(package(p("x"), compression=zipfile.ZIP_BZIP2)) == "UnsupportedFormatError"
     assert docx.parse("d", package("<broken 'x"))["parse_issues"] == [{"part": "word/document.xml", "code": "malformed-content", "message": "1 broken paragraphs, 0 broken tables"}]
 
 

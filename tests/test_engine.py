@@ -97,7 +97,7 @@ def test_reports(ctx):
     rows = report.report_rows(ctx, rules.ordered(rules.run_rules(ctx)))
     values = {r["doc_id"]: report.report(r.asDict(recursive=True)) for r in rows.collect()}
     assert all(report.validate(v) == [] for v in values.values()) and report.exit_code(values["notes"]) == 0 and report.exit_code(values["none"]) == 1
-    assert values["numeric"]["meta"] == {"file": "numeric", "citations": 7, "references": 3}
+    assert values["numeric"]["meta"] == {"file": "numeric", "citations": 7, "references": 3, "ruleIds": rules.active_rules()}
     assert {r.doc_id: r.json for r in report.report_json(rows).collect()}["none"] == report.serialize(values["none"])
     assert "</script><" not in report.render_html({**values["none"], "meta": {"file": "</script><b>"}}).split("<script")[1].replace("</script></body>", "")
     assert report.validate({"version": 2}) and report.exit_code(report.error_report("f", "NotADocxError", "x")) == 2
