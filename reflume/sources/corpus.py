@@ -30,7 +30,7 @@ def long_manuscripts(spark: SparkSession, documents: int, entries: int = 260, ci
     sentence = lambda j: F.concat(F.lit(f"{say} ("), family(of(j)), F.lit(", "), year(of(j)), F.lit(")."))
     body = body.select("doc_id", "k", F.lit("paragraph").alias("type"), F.array_join(F.transform(F.sequence(F.col("k"), F.lit(citations - 1), F.lit(paragraphs)), sentence), " ").alias("text"))
     head = docs.select("doc_id", F.lit(paragraphs).alias("k"), F.lit("heading").alias("type"), F.lit("References").alias("text"))
-    cited = docs.select("doc_id", (F.col("b") + F.explode(F.sequence(F.lit(0), F.lit(entries - 1)))).alias("s"), "b")
+    cited = docs.select("doc_id", "b", F.explode(F.sequence(F.col("b"), F.col("b") + entries - 1)).alias("s"))
     line = F.concat(family(F.col("s")), F.lit(", J. ("), year(F.col("s")), F.lit("). Title "), F.lower(family(F.col("s"))), F.lit(". Journal of Tests, 12(3), 45-60."))
     cited = cited.select("doc_id", (F.col("s") - F.col("b") + paragraphs + 1).cast("int").alias("k"), F.lit("paragraph").alias("type"), line.alias("text"))
     return body.unionByName(head).unionByName(cited).select(

@@ -5,6 +5,7 @@ from reflume import schema
 from reflume.operators import explore, metrics, report, rules
 from reflume.operators.regions import balanced_regions
 from reflume.plans import lint
+from reflume.sources.corpus import long_manuscripts
 
 ENTRY = "{}, {} ({}). Structured citations. Journal of Citation Science, 12(3), 45-60."
 
@@ -150,3 +151,9 @@ def test_release_lets_go_of_all_tables(spark):
     assert spark.sparkContext._jsc.getPersistentRDDs().size() > before
     lint.release(ctx)
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before and not ctx.held
+
+
+def test_long_manuscripts(spark):
+    ctx = lint.analyse(long_manuscripts(spark, 2, entries=5, citations=23, paragraphs=9), keep=False)
+    assert {r.doc_id: r["count"] for r in ctx.citations.groupBy("doc_id").count().collect()} == {"0": 28, "1": 28}
+    assert {r.relationship for r in ctx.matches.select("relationship").distinct().collect()} == {"MATCHED"}
