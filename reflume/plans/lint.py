@@ -14,8 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reflume.operators import bibliography, citations, matching, rules
+from reflume.plans import store
 from reflume.schema import SEVERITIES, STAGES
 
+#: What numbers() takes of a citation.
+NUMERIC = ("doc_id", "block_ord", "block_id", "paragraph_index", "kind", "family", "tokens", "reason", "nth")
 #: Seconds that the analysis of one document may take by default.
 SECONDS = 30.0
 
@@ -57,6 +60,39 @@ def analyse(blocks: DataFrame, options: Options = Options(), keep: bool = True)
     return rules.Context(blocks, documents, cited, extracted.where("kind = 'invalid'"), entries, matches, status, tokens, held)
 
 
+#: What a store may hold of an analysis, in the order in which one is made from others.
+TABLES = ("entries", "citations", "matches")
+
+
+def stored(blocks: DataFrame, tables: Sequence[str] = TABLES, options: Options = Options()) -> rules.Context:
+    """The analysis with the named tables written to the shared folder and read from there.
+
+    So plans stay short however many rules read a table, each reads the columns
+    it needs, and nothing hangs on how long a result is held. The files go when
+    the driver ends. blocks: best dealt by document already; they are read once
+    for each table.
+    """
+    folder = store.folder(blocks.sparkSession)
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        return store.write(df, f"{folder}/{name}") if name in tables else df
+
+    documents, section = bibliography.bibliography(blocks, options.bibliography_blocks)
+    entries = put(bibliography.parse_entries(bibliography.entry_blocks(blocks, section)), "entries")
+    cited = put(citations.numbered(citations.extract(blocks, ("author-date", "numeric"))), "citations")
+    matches = put(matching.combine(cited, matching.match_items(cited, entries, options.weights)), "matches")
+    status, tokens = matching.entry_status(entries, matches), matching.numeric_tokens(cited, entries)
+    return rules.Context(blocks, documents, cited, citations.extract(blocks, ("invalid",)), entries, matches, status, tokens)
+
+
+def numbers(blocks: DataFrame) -> rules.Context:
+    """The analysis of numeric citations alone: neither entries are read nor names matched. Citations are numbered among the numeric ones."""
+    documents, section = bibliography.bibliography(blocks)
+    listed = bibliography.entry_blocks(blocks, section)
+    cited = citations.numbered(citations.extract(blocks, ("numeric",), NUMERIC))
+    return rules.Context(blocks, documents, cited, citations.extract(blocks, ("invalid",)), listed, None, None, matching.numeric_tokens(cited, listed))
+
+
 def release(ctx: rules.Context) -> None:
     """Lets go of the tables that analyse() holds, those made from others first."""
     while ctx.held:
