@@ -210,55 +210,38 @@ def _lists(percent: int):
     return run
 
 
-def _sets(width: int):
+def _overlaps(width: int):
+    """Rows sorted by (leader, salt, member or not): the leader's text comes first in each group."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, base, before = None, None, None
         for batch in batches:
-            kept = list(shingle_sets(batch.column(1), width))
-            names = batch.column(0).to_pylist()
-            right = [k for k, tokens in enumerate(kept) if len(tokens) and _digest(tokens) == names[k]]  # an id may stand for several texts
-            batch, kept, at = batch.take(pa.array(right, pa.int64())), [kept[k] for k in right], 0
-            while at < len(kept):  # rows of bounded size together
-                end, size = at, 0
-                while end < len(kept) and (end == at or size + len(kept[end]) < 1_000_000):
-                    size += len(kept[end])
-                    end += 1
-                values = pa.array(np.concatenate(kept[at:end]).view(np.int64))
-                offsets = pa.array(np.cumsum([0, *map(len, kept[at:end])]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), batch.column(2).slice(at, end - at), pa.ListArray.from_arrays(offsets, values)], ["cls", "goes", "tokens"])
-                at = end
+            leader, salt, cls, member = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            a, b, n_a, n_b, both = [], [], [], [], []
+            for k, own in enumerate(shingle_sets(batch.column(4), width)):
+                if not len(own) or _digest(own) != cls[k]:  # an id may stand for several texts
+                    continue
+                if not member[k]:
+                    group, base = (leader[k], salt[k]), own.copy()
+                    continue
+                if group != (leader[k], salt[k]):
+                    raise ValueError("a set is missing")
+                if before == (group, cls[k]):
+                    continue
+                before = (group, cls[k])
+                at = np.minimum(np.searchsorted(base, own), len(base) - 1)
+                a.append(leader[k])
+                b.append(cls[k])
+                n_a.append(len(base))
+                n_b.append(len(own))
+                both.append(int((base[at] == own).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n_a, pa.int32()), pa.array(n_b, pa.int32()), pa.array(both, pa.int32())], ["leader", "cls", "leader_n", "n", "both"])
 
     return run
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (leader, salt, member or not): the leader's set comes first in each group."""
-    group, base, before = None, None, None
-    for batch in batches:
-        leader, salt, cls, member = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-        column = batch.column(4)
-        values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-        a, b, n_a, n_b, both = [], [], [], [], []
-        for k in range(len(cls)):
-            own = values[offsets[k] : offsets[k + 1]].view(np.uint64)
-            if not member[k]:
-                group, base = (leader[k], salt[k]), own
-                continue
-            if group != (leader[k], salt[k]):
-                raise ValueError("a set is missing")
-            if before == (group, cls[k]):
-                continue
-            before = (group, cls[k])
-            at = np.minimum(np.searchsorted(base, own), len(base) - 1)
-            a.append(leader[k])
-            b.append(cls[k])
-            n_a.append(len(base))
-            n_b.append(len(own))
-            both.append(int((base[at] == own).sum()))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n_a, pa.int32()), pa.array(n_b, pa.int32()), pa.array(both, pa.int32())], ["leader", "cls", "leader_n", "n", "both"])
-
-
 def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, rows: int, width: int, scratch: Scratch, every: bool = False) -> DataFrame:
-    """Exact overlaps of the pairs (leader, cls). A class's text is read once; its set goes where it is needed.
+    """Exact overlaps of the pairs (leader, cls). A class's text goes where its set is needed: packed, it is less than half of the set's hashes.
 
     rows: how many pairs and classes there are.
     """
@@ -277,11 +260,10 @@ def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, rows: int, widt
     ids = goes.select("doc_id").distinct()
     wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi")
     texts = wanted.join(goes.hint("merge"), "doc_id").select("cls", "text", "goes")
-    kind = "cls long, goes array<struct<leader:long,salt:int,member:int>>, tokens array<long>"
-    delivered = texts.mapInArrow(tidy(_sets(width)), kind).select("cls", F.explode("goes").alias("to"), "tokens").select("to.leader", "to.salt", "cls", "to.member", "tokens")
+    delivered = texts.select("cls", F.explode("goes").alias("to"), "text").select("to.leader", "to.salt", "cls", "to.member", "text")
     return (
         delivered.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "member", "cls")
-        .mapInArrow(tidy(_overlaps), "leader long, cls long, leader_n int, n int, both int")
+        .mapInArrow(tidy(_overlaps(width)), "leader long, cls long, leader_n int, n int, both int")
     )
 
 
@@ -397,7 +379,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    scratch = Scratch(spark, "jaccard")
+    scratch = Scratch(spark, "jaccard", lean=True)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     told = scratch.write(docs.mapInArrow(tidy(_describe(width)), "kind int, doc_id long, n int, cls long"), "described")

@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from reflume.llm.common import FREE_SHUFFLES, Scratch
 from reflume.llm.ngram_join import jaccard_components
 
 
@@ -73,3 +75,16 @@ def test_one_text_longer_than_a_cut(spark):
     rows = [(1, text), (2, text + " end"), (3, "x" * 3_000_000)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (399_996, 1), 2: (399_997, 1), 3: (1, 3)}
+
+
+def test_a_lean_step_leaves_no_shuffle_files(spark):
+    import time
+
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    before, scratch = held.size(), Scratch(spark, "test", lean=True)
+    df = spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    assert scratch.write(df).count() == 7
+    late = time.monotonic() + 10
+    while held.size() > before + 1 and time.monotonic() < late:  # the count above shuffles once itself
+        time.sleep(0.1)
+    assert held.size() <= before + 1 and spark.conf.get(FREE_SHUFFLES, None) != "true"
