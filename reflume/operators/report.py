@@ -78,6 +78,52 @@ def serialize(value: dict) -> str:
     return json.dumps(value, indent=2, ensure_ascii=False) + "\n"
 
 
+def wide(text: str) -> bool:
+    """Whether a text has characters beyond the basic plane."""
+    return any(c > "\uffff" for c in text)
+
+
+def units(text: str) -> int:
+    """The length of a text in UTF-16 units."""
+    return len(text.encode("utf-16-be", "surrogatepass")) // 2
+
+
+_quoted = json.encoder.encode_basestring
+
+
+def _said(text: str | None) -> str:
+    return "null" if text is None else _quoted(text)
+
+
+def _written_source(known: Sequence[str], pad: str) -> str:
+    return f"{{\n{pad}  " + f",\n{pad}  ".join(known) + f"\n{pad}}}" if known else "{}"
+
+
+def written_issue(
+    issue_id: str, rule: str, severity: str, message: str | None, evidence: Sequence[tuple[str, str | None]], block_id: str | None, paragraph: int | None, start: int | None, end: int | None
+) -> str:
+    """An issue as it stands in a serialized report; evidence is (code, message)."""
+    known = [] if block_id is None else [f'"blockId": {_quoted(block_id)}']
+    known += [f'"{name}": {value}' for name, value in (("paragraphIndex", paragraph), ("startOffset", start), ("endOffset", end)) if value is not None]
+    there, here = _written_source(known, " " * 10), _written_source(known, " " * 6)
+    told = ",\n".join(f'        {{\n          "code": {_quoted(code)},\n          "message": {_said(text)},\n          "source": {there}\n        }}' for code, text in evidence)
+    told = f"[\n{told}\n      ]" if told else "[]"
+    return (
+        f'    {{\n      "id": {_quoted(issue_id)},\n      "ruleId": "{rule}",\n      "severity": "{severity}",\n      "message": {_said(message)},\n      "evidence": {told},\n      "sourceLoc": {here}\n    }}'
+    )
+
+
+def written(file: str, citations: int, references: int, rule_ids: Sequence[str], issues: Sequence[str], counts: Sequence[int]) -> str:
+    """serialize(report()) of written issues and counts by severity, put together from its lines."""
+    ran = ",\n".join(f"      {_quoted(r)}" for r in rule_ids)
+    listed = "[\n" + ",\n".join(issues) + "\n  ]" if issues else "[]"
+    told = ",\n".join(f'    "{s}": {n}' for s, n in zip(SEVERITIES, counts, strict=True))
+    return (
+        f'{{\n  "version": {VERSION},\n  "meta": {{\n    "file": {_said(file)},\n    "citations": {citations},\n    "references": {references},\n    "ruleIds": [\n{ran}\n    ]\n  }},\n'
+        f'  "issues": {listed},\n  "counts": {{\n{told}\n  }}\n}}\n'
+    )
+
+
 def report_json(rows: DataFrame, rule_ids: Sequence[str] | None = None) -> DataFrame:
     """doc_id, json of every document."""
 
